@@ -51,3 +51,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     """Removes a table that no later plan reads."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Holds Arrow batches for Python to so many rows and bytes, unless the session asks for less."""
+    conf = spark.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, rows):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "2147483647")) > size:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -19,10 +19,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import bounded_batches, table
 
 MAX_KNOWN = 400_000
-CHUNK = 1 << 16
 _COUNTERS: dict[str, "PieceCounter"] = {}
 
 
@@ -78,6 +77,7 @@ def counter(path: str) -> PieceCounter:
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of every row."""
+    bounded_batches(docs.sparkSession)
     kept = docs.select(id_col, text_col)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
