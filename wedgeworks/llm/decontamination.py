@@ -23,6 +23,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,48 +112,50 @@ def merged(ranges: list[tuple[int, int]]) -> list[int]:
     return out
 
 
+def indexes(items: DataFrame, width: int, block_bytes: int) -> Iterator[tuple[Broadcast, bool]]:
+    """Broadcast indexes of the items' blocks, and whether each is the last."""
+    spark = items.sparkSession
+    bounded_batches(spark)
+    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("binary").alias("body")).where("body is not null")
+    total = rows.agg(F.sum(F.length("body"))).first()[0] or 0
+    blocks = max(1, -(-total // block_bytes))
+    for b in range(blocks):
+        mine = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == b)
+        yield spark.sparkContext.broadcast(WindowIndex([(r.item, bytes(r.body)) for r in mine.collect()], width)), b == blocks - 1
+
+
+def slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """Parts of about size bytes, of a row at least."""
+    rows = max(1, batch.num_rows * size // max(1, batch.nbytes))
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, width: int = 10, block_bytes: int = 8 << 20, chunk: int = 2_000_000) -> DataFrame:
     """(doc_id, n_words, n_hit, hits, items) of every row of docs (doc_id, text).
 
     hits: the covered word ranges as start, end (exclusive) in order; items: the ids of items found, sorted.
     chunk: about how many bytes of text are searched at once.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.col("text").cast("binary").alias("body")).where("body is not null")
-    total = items.agg(F.sum(F.length("body"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("body")).withColumns(
         {"hits": F.lit(None).cast("array<bigint>"), "items": F.lit(None).cast("array<string>")}
     )
-    for b in range(blocks):
-        mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("name", "body"), F.lit(blocks)) == b)
-        index = spark.sparkContext.broadcast(WindowIndex([(r.name_, bytes(r.body)) for r in mine.withColumnRenamed("name", "name_").collect()], width))
-        final = b == blocks - 1
+    for index, final in indexes(items, width, block_bytes):
 
         def searched(batches: Iterator[pa.RecordBatch], index=index, final=final) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = 0
-                size = max(1, batch.num_rows * chunk // max(1, batch.nbytes))
-                while at < batch.num_rows:
-                    part = batch.slice(at, size)
-                    at += size
-                    texts = [words_of(x) for x in part.column(1).to_pylist()]
-                    found = index.value.find(texts)
-                    hits, names = part.column(2).to_pylist(), part.column(3).to_pylist()
-                    for d, (ranges, ids) in found.items():
-                        old = hits[d] or []
-                        hits[d] = merged([*ranges, *zip(old[::2], old[1::2], strict=True)])
-                        names[d] = sorted(ids | set(names[d] or ()))
-                    columns = [part.column(0), part.column(1)] if not final else [
-                        part.column(0), pa.array([len(x) for x in texts], pa.int64()),
-                        pa.array([sum(h[1::2]) - sum(h[::2]) if h else 0 for h in hits], pa.int64()),
-                    ]
-                    yield pa.RecordBatch.from_arrays(
-                        [*columns, pa.array(hits, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))],
-                        names=["doc_id", "body", "hits", "items"] if not final else ["doc_id", "n_words", "n_hit", "hits", "items"],
-                    )
+            for part in (p for batch in batches for p in slices(batch, chunk)):
+                texts = [words_of(x) for x in part.column(1).to_pylist()]
+                found = index.value.find(texts)
+                hits, names = part.column(2).to_pylist(), part.column(3).to_pylist()
+                for d, (ranges, ids) in found.items():
+                    old = hits[d] or []
+                    hits[d] = merged([*ranges, *zip(old[::2], old[1::2], strict=True)])
+                    names[d] = sorted(ids | set(names[d] or ()))
+                columns = {"doc_id": part.column(0), "body": part.column(1)} if not final else {
+                    "doc_id": part.column(0), "n_words": pa.array([len(x) for x in texts], pa.int64()),
+                    "n_hit": pa.array([sum(h[1::2]) - sum(h[::2]) if h else 0 for h in hits], pa.int64()),
+                }
+                yield pa.RecordBatch.from_pydict({**columns, "hits": pa.array(hits, pa.list_(pa.int64())), "items": pa.array(names, pa.list_(pa.string()))})
 
         rows = rows.mapInArrow(searched, f"doc_id {id_type}, n_words bigint, n_hit bigint, {STATE}" if final else f"doc_id {id_type}, body binary, {STATE}")
         if not final:
@@ -160,6 +163,22 @@ def find_contamination(docs: DataFrame, items: DataFrame, width: int = 10, block
     return rows
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 10, block_bytes: int = 8 << 20, chunk: int = 2_000_000) -> DataFrame:
+    """The rows of docs, whole, in whose text no window occurs."""
+    at = docs.columns.index("text")
+    for index, final in indexes(items, width, block_bytes):
+
+        def passed(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for part in (p for batch in batches for p in slices(batch, chunk)):
+                found = index.value.find([words_of(x.encode() if x else None) for x in part.column(at).to_pylist()])
+                yield part.filter(pa.array([i not in found for i in range(part.num_rows)], pa.bool_()))
+
+        docs = docs.mapInArrow(passed, docs.schema)
+        if not final:
+            docs = stored(docs, "decontamination")
+    return docs
+
+
 def op8_decontamination(spark, sf_dir):
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.coalesce("items", F.array().cast("array<string>"))

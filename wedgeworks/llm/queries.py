@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import decontamination, html_extraction, mixing, near_dedup, pii, quality_crf, quality_rules, token_counts, url_filters, warc
 
 QUERIES = {
@@ -15,6 +17,7 @@ QUERIES = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_mixing": mixing.op9_mixing,
     "op10_quality_crf": quality_crf.op10_quality_crf,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op2_warc": warc.SQL,
@@ -22,3 +25,5 @@ ORACLES = {
     "op8_decontamination": decontamination.SQL,
     "op9_mixing": mixing.SQL,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
