@@ -1,0 +1 @@
+"""Exact triangle counting and graph processing on Spark DataFrames."""

@@ -1,0 +1 @@
+"""DataFrame operators on edges (src, dst)."""

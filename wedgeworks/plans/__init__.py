@@ -1,0 +1 @@
+"""Named queries over the order tables, each with its SQL twin."""

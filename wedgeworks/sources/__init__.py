@@ -1,0 +1 @@
+"""Reading and writing edge lists, adjacency and partitioned graphs."""

@@ -1,0 +1 @@
+"""Empty on purpose: the workload has no event time, windows or streams to reproduce."""
