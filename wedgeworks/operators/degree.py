@@ -35,20 +35,20 @@ def graph_stats(edges: DataFrame) -> DataFrame:
     )
 
 
-def running_total(rows: DataFrame, key: str, value: str, blocks: int = 256) -> DataFrame:
-    """Adds total: the sum of value up to and with each row, in order of a unique integer key.
+def running_total(rows: DataFrame, key: str, value: str, by: tuple[str, ...] = (), blocks: int = 256) -> DataFrame:
+    """Adds total: the sum of value up to and with each row, in order of a unique integer key, for each by.
 
-    Two levels: sums of key ranges are added up first (at most ``blocks`` rows), then rows within a range.
+    Two levels: sums of key ranges are added up first (at most ``blocks`` rows for each by), then rows within
+    a range. No window spans all rows.
     """
     span = rows.agg(F.min(key).alias("_low"), (F.floor((F.max(key) - F.min(key)) / F.lit(blocks)) + 1).alias("_step"))
     placed = rows.join(F.broadcast(span)).withColumn("_block", F.floor((F.col(key) - F.col("_low")) / F.col("_step")))
-    sums = placed.groupBy("_block").agg(F.sum(value).alias("_sum"))
-    before = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    # a row for each block at most
-    starts = sums.select("_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    inside = W.partitionBy("_block").orderBy(key).rowsBetween(W.unboundedPreceding, 0)
+    sums = placed.groupBy(*by, "_block").agg(F.sum(value).alias("_sum"))
+    before = W.partitionBy(*by).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.select(*by, "_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    inside = W.partitionBy(*by, "_block").orderBy(key).rowsBetween(W.unboundedPreceding, 0)
     total = F.col("_before") + F.sum(value).over(inside)
-    return placed.join(F.broadcast(starts), "_block").withColumn("total", total).drop("_low", "_step", "_block", "_before")
+    return placed.join(starts, [*by, "_block"]).withColumn("total", total).drop("_low", "_step", "_block", "_before")
 
 
 def csr_offsets(edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:

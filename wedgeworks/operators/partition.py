@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .degree import in_degree, running_total
@@ -50,8 +49,7 @@ def greedy_row_cuts(o: DataFrame, columns: Column, size: int) -> list[int]:
     from ..sources.scratch import kept
 
     cells = o.groupBy(F.col("src").alias("v"), columns.alias("k")).agg((F.count("*") + 2).alias("w"))
-    order = W.partitionBy("k").orderBy("v")
-    run = kept(cells.withColumn("cum", F.sum("w").over(order)), "row-weights")
+    run = kept(running_total(cells, "v", "w", ("k",)).withColumnRenamed("total", "cum"), "row-weights")
     out: list[int] = []
     last = None
     while True:
@@ -72,10 +70,10 @@ def greedy_row_cuts(o: DataFrame, columns: Column, size: int) -> list[int]:
 def per_column_row_cuts(o: DataFrame, columns: Column, parts: int) -> DataFrame:
     """(k, part, hi): balanced rows inside each column part."""
     cells = o.groupBy(columns.alias("k"), F.col("src").alias("v")).agg(F.count("*").alias("w"))
-    total = F.sum("w").over(W.partitionBy("k").orderBy("v"))
-    whole = F.sum("w").over(W.partitionBy("k"))
-    part = F.least(F.floor((total - 1) * parts / whole), F.lit(parts - 1)).cast("long")
-    return cells.select("k", "v", part.alias("part")).groupBy("k", "part").agg(F.max("v").alias("hi"))
+    whole = cells.groupBy("k").agg(F.sum("w").alias("_all"))  # a row a part
+    part = F.least(F.floor((F.col("total") - 1) * parts / F.col("_all")), F.lit(parts - 1)).cast("long")
+    run = running_total(cells, "v", "w", ("k",)).join(F.broadcast(whole), "k")
+    return run.select("k", "v", part.alias("part")).groupBy("k", "part").agg(F.max("v").alias("hi"))
 
 
 def uniform_step(max_id: int, parts: int) -> int:
