@@ -30,6 +30,12 @@ def test_odd_input():
     assert main_text(f"<main><header><h2>Head</h2></header><p>{P}</p></main>") == f"Head {P}"
 
 
+def test_inline_boilerplate_and_heads():
+    assert main_text(f"<article><p>{P} <span class='advert'>Buy <span>now</span> cheap</span>and more.</p></article>") == f"{P} and more."
+    assert main_text(f"<div class=post><div class='post-header'><h1>Head</h1></div><p>{P}</p><div class='post-footer share'>Share this</div></div>") == f"Head {P}"
+    assert main_text(f"<main><p>{P}</p><table><tr><td>one cell of text<td>another cell of text</table></main>") == f"{P} one cell of text another cell of text"
+
+
 def test_long_pages_take_linear_time():
     began = time.time()
     assert main_text("<article>" + f"<p>{P}</p>" * 20_000 + "</article>").count("paragraph") == 20_000

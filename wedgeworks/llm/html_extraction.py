@@ -42,6 +42,7 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 INLINE_KEPT = frozenset("a button label select svg template noscript object video audio canvas map".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
 CLOSES = {
     "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"},
@@ -90,9 +91,12 @@ def says(name: str, tag: str) -> float:
             verdict = 4.0
     if name in ("html", "body"):
         return 0.0
-    if words & BAD_WORDS and not (words & GOOD_WORDS and verdict > 0):
+    bad, good = words & BAD_WORDS, words & GOOD_WORDS
+    if good and bad <= {"header"}:  # an article's own head belongs to the article
+        bad = set()
+    if bad and not (good and verdict > 0):
         return -6.0 if name != "article" or words & {"comment", "comments", "reply", "ad", "advert", "teaser", "related"} else verdict
-    return verdict or (2.0 if words & GOOD_WORDS else 0.0)
+    return verdict or (2.0 if good else 0.0)
 
 
 class Block:
@@ -151,10 +155,12 @@ def blocks_of(page: str) -> list[Block]:
                 links = 0
             if name in BLOCK:
                 flush()
-            if (name in BLOCK or name in INLINE_KEPT) and any(e.name == name for e in stack):
-                if name in INLINE_KEPT and name != "a":
+            if any(e.name == name for e in stack):
+                # other inline elements are on the stack only if they, or one around them, are boilerplate
+                inner = next(e for e in reversed(stack) if e.name == name)
+                if name not in BLOCK and name != "a" and inner.says:
                     flush()
-                while stack.pop().name != name:
+                while stack.pop() is not inner:
                     pass
             continue
         if name in RAW:
@@ -183,6 +189,13 @@ def blocks_of(page: str) -> list[Block]:
                 continue
             number += 1
             stack.append(Element(name, says(name, token), number))
+        elif name not in VOID:
+            verdict = says(name, token) if "=" in token or "hidden" in token else 0.0
+            if verdict < 0 or any(e.name == name for e in stack):
+                if verdict < 0:
+                    flush()
+                number += 1
+                stack.append(Element(name, min(verdict, 0.0), number))
     flush()
     return blocks
 
