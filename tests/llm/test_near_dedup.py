@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from wedgeworks.llm import near_dedup as N
-from wedgeworks.llm.components import components
+from wedgeworks.llm.components import components, joined
 
 
 def sentence(rng, n):
@@ -87,3 +87,11 @@ def test_components(spark):
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100, 200: 200, 300: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_more_edges(spark):
+    frame = lambda e: spark.createDataFrame(e, "a long, b long")
+    first = [(1, 2), (3, 4), (9, 10)]
+    more = [(4, 2), (20, 21), (21, 10), (30, 31), (3, 4)]
+    want = dict(map(tuple, components(frame(first + more)).collect()))
+    assert dict(map(tuple, joined(components(frame(first)), frame(more)).collect())) == want

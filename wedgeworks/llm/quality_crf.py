@@ -122,7 +122,7 @@ def fit(samples: list[tuple[int, np.ndarray]], rounds: int = 200, rate: float =
     """samples: (label, line features) of documents."""
     samples = [(y, x) for y, x in samples if len(x)]
     prior = float(np.mean([y for y, _ in samples])) if samples else 0.5
-    if not 0 < prior < 1:
+    if not samples or not 0 < prior < 1:
         return Field(prior)
     x = np.concatenate([x for _, x in samples]).astype(np.float64)
     starts = np.concatenate([[0], np.cumsum([len(x) for _, x in samples])])

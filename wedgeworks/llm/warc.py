@@ -104,7 +104,7 @@ def verified(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame
         F.regexp_replace(_field(text, "WARC-Payload-Digest"), "^sha256:", "").alias("payload_digest"),
         _field(text, "X-Payload-Length").cast("long").alias("payload_bytes"), _field(text, "X-Refers-To-Key").alias("refers"),
         F.regexp_extract(text, r"(?m)^Content-Length: ?(\d+)", 1).cast("long").alias("block"),
-        (F.length("header") - F.instr(text, CRLF * 2) - 3).cast("long").alias("http"), "hashed", "held",
+        (F.length(text) - F.instr(text, CRLF * 2) - 3).cast("long").alias("http"), "hashed", "held",
     )
     whole = F.col("payload_digest").eqNullSafe(F.col("hashed")) & F.col("payload_bytes").eqNullSafe(F.col("held")) & (
         F.col("block") == F.when(F.col("record_type") == "revisit", F.lit(0)).otherwise(F.col("http") + F.col("held"))
