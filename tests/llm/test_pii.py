@@ -55,11 +55,13 @@ def test_looser_spans_need_the_labelers(spark):
     rows = [f"phone: +1 (555) 123-{n:04d} or mail: user{n}@site.org" for n in range(200)]
     rows += [f"call {a}-{b}-{c} today" for a, b, c in ((rng.randint(200, 999), rng.randint(200, 999), rng.randint(1000, 9999)) for _ in range(60))]
     rows += ["contact jane.doe (at) site (dot) org please"] * 40
+    rows += [f"und +1 (555) 123-{n:04d} 190.137.223.{n} der" for n in range(30)]  # one base match with too many digits
     rows += [f"order #{n}55-123-4567x" for n in range(2, 9)]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     found, model = pii.find_spans(docs, ["doc_id", "text"])
     by = {r.text: [(pii.KINDS[x.k], r.text[x.s : x.e], x.base) for x in r.spans] for r in found.collect()}
     assert all(v for t, v in by.items() if t.startswith("call"))
+    assert by["und +1 (555) 123-0007 190.137.223.7 der"] == [("ip", "190.137.223.7", True), ("phone", "+1 (555) 123-0007", False)]
     assert by["contact jane.doe (at) site (dot) org please"] == [("email", "jane.doe (at) site (dot) org", False)]
     assert not any(v for t, v in by.items() if t.startswith("order"))
     yes, no = model.reliability["phone", "before"][1]

@@ -15,7 +15,7 @@ plain forms without backtracking over long runs.
 Positions come from splitting the text at the matches and adding up lengths in code points.
 
 Defined results: null text is empty; spans of different kinds may overlap; looser candidates that overlap a
-reported base span, or an earlier looser one, are dropped; rows are independent but for the fitted model.
+reported base span of their kind are dropped; rows are independent but for the fitted model.
 """
 
 from __future__ import annotations
@@ -42,8 +42,8 @@ BASE = {
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20?[\[(]at[\])]\x20?|\x20at\x20)[A-Za-z0-9-]++(?:(?:\x20?[\[(]dot[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9-])3[47][0-9]{2}[\x20-]?[0-9]{6}[\x20-]?[0-9]{5}(?![0-9-])",
-    "phone": r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])",
+    "card": r"(?<![0-9-])(?:3[47][0-9]{2}[\x20-]?[0-9]{6}[\x20-]?[0-9]{5}|[3-6][0-9]{3}(?:[\x20-]?[0-9]{4}){3})(?![0-9-])",
+    "phone": r"(?<![0-9+.-])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])",
 }
 #: Cheap conditions without which a pattern can't match.
 NEEDS = {
@@ -53,7 +53,7 @@ NEEDS = {
     ("phone", True): lambda t: F.contains(t, F.lit("+")),
     ("email", False): lambda t: F.rlike(t, F.lit(r"[\x20\[(]dot[\x20\])]")),
     ("ip", False): lambda t: F.rlike(t, F.lit(r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]")),
-    ("card", False): lambda t: F.rlike(t, F.lit(r"3[47][0-9]{2}[\x20-]?[0-9]{6}")),
+    ("card", False): lambda t: F.rlike(t, F.lit(r"3[47][0-9]{2}[\x20-]?[0-9]{6}|[3-6][0-9]{3}[\x20-]?[0-9]{4}")),
     ("phone", False): lambda t: F.rlike(t, F.lit(r"[0-9]{3}[\x20.-][0-9]{4}")),
 }
 # fixed values: common top-level domains, calling codes, issuer prefixes, and words around personal data
@@ -133,7 +133,7 @@ def votes(kind: str, base: bool, x: Column) -> list[Column]:
         "email": F.rlike(flat, F.lit(DOMAINS)),
         "ip": ~F.rlike(hit, F.lit(RESERVED)),
         "card": F.rlike(digits(hit), F.lit(ISSUERS)),
-        "phone": F.rlike(F.regexp_replace(hit, r"[\x20().-]", ""), F.lit(CALLING if base else r"^[2-9][0-9]{2}[2-9]")),
+        "phone": F.rlike(F.regexp_replace(hit, r"[\x20().-]", ""), F.lit(CALLING if base else r"^(?:\+[0-9]{1,3})?[2-9][0-9]{2}[2-9]")),
     }[kind]
     yes_no = lambda c: F.when(c, 1).otherwise(-1)
     against = F.rlike(x["left"], F.lit(AGAINST)) | F.rlike(x["right"], F.lit(r"^(?:[0-9A-Za-z]|[.,][0-9])"))
@@ -155,7 +155,9 @@ def candidates_of(text: Column, k: int, base: bool) -> Column:
 
 def candidates(text: Column) -> Column:
     """Array of (k, s, e, base, key) in order of kind, base first, start; key: kind, votes and size class."""
-    return F.concat(*[candidates_of(text, k, base) for k in range(len(KINDS)) for base in (True, False)])
+    apart = lambda x, found: ~F.exists(found, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
+    both = lambda k: let(candidates_of(text, k, True), lambda b: F.concat(b, F.filter(candidates_of(text, k, False), lambda x: apart(x, b))))
+    return F.concat(*[both(k) for k in range(len(KINDS))])
 
 
 @dataclass
@@ -220,12 +222,11 @@ def find_spans(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, SpanModel]:
     model = fit([(r[0], r[1]) for r in counted])
     accepted = [F.lit(k) for k in model.accepted]
 
-    def chosen(x: Column, spans: Column) -> Column:
+    def chosen(x: Column) -> Column:
         fits = x["key"].isin(*accepted) if accepted else F.lit(False)
-        clear = ~F.exists(spans, lambda y: (y["k"] == x["k"]) & (y["s"] < x["e"]) & (x["s"] < y["e"]) & (y["base"] | (y["s"] < x["s"])))
-        return F.when(x["base"], True).otherwise(fits & clear)
+        return x["base"] | fits
 
-    picked = let(F.col("spans"), lambda a: F.filter(a, lambda x: chosen(x, a)))
+    picked = F.filter("spans", chosen)
     ordered = F.sort_array(F.transform(picked, lambda x: F.struct(x["k"], x["s"], x["e"], x["base"])))
     return found.withColumn("spans", ordered), model
 
