@@ -41,14 +41,14 @@ def running_total(rows: DataFrame, key: str, value: str, by: tuple[str, ...] = (
     Two levels: sums of key ranges are added up first (at most ``blocks`` rows for each by), then rows within
     a range. No window spans all rows.
     """
-    span = rows.agg(F.min(key).alias("_low"), (F.floor((F.max(key) - F.min(key)) / F.lit(blocks)) + 1).alias("_step"))
-    placed = rows.join(F.broadcast(span)).withColumn("_block", F.floor((F.col(key) - F.col("_low")) / F.col("_step")))
+    span = rows.agg(F.struct(F.min(key).alias("low"), (F.floor((F.max(key) - F.min(key)) / F.lit(blocks)) + 1).alias("step"))).scalar()
+    placed = rows.withColumn("_span", span).withColumn("_block", F.floor((F.col(key) - F.col("_span.low")) / F.col("_span.step")))
     sums = placed.groupBy(*by, "_block").agg(F.sum(value).alias("_sum"))
     before = W.partitionBy(*by).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     starts = sums.select(*by, "_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
     inside = W.partitionBy(*by, "_block").orderBy(key).rowsBetween(W.unboundedPreceding, 0)
     total = F.col("_before") + F.sum(value).over(inside)
-    return placed.join(starts, [*by, "_block"]).withColumn("total", total).drop("_low", "_step", "_block", "_before")
+    return placed.join(starts, [*by, "_block"]).withColumn("total", total).drop("_span", "_block", "_before")
 
 
 def csr_offsets(edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:

@@ -16,9 +16,9 @@ def cut_points(weights: DataFrame, parts: int) -> DataFrame:
     weights: (v, w). Cuts may coincide on heavy vertices; the last part ends at the largest vertex.
     """
     run = running_total(weights, "v", "w")
-    whole = weights.agg(F.sum("w").alias("_all"))
+    whole = weights.agg(F.sum("w")).scalar()
     part = F.least(F.floor((F.col("total") - 1) * parts / F.col("_all")), F.lit(parts - 1)).cast("long")
-    return run.join(F.broadcast(whole)).select("v", part.alias("part")).groupBy("part").agg(F.max("v").alias("hi"))
+    return run.withColumn("_all", whole).select("v", part.alias("part")).groupBy("part").agg(F.max("v").alias("hi"))
 
 
 def column_cuts(o: DataFrame, parts: int) -> DataFrame:

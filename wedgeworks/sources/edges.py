@@ -36,9 +36,9 @@ def read_edge_text(spark: SparkSession, path: str, shift: bool = False, symmetri
 
 
 def shift_ids(edges: DataFrame) -> DataFrame:
-    """Subtracts the smallest id from all (P4); the minimum is one row."""
-    least = edges.agg(F.min(F.least("src", "dst")).alias("low"))
-    return edges.join(F.broadcast(least)).select((F.col("src") - F.col("low")).alias("src"), (F.col("dst") - F.col("low")).alias("dst"))
+    """Subtracts the smallest id from all (P4); the minimum is a scalar subquery."""
+    low = edges.agg(F.min(F.least("src", "dst"))).scalar()
+    return edges.select((F.col("src") - low).alias("src"), (F.col("dst") - low).alias("dst"))
 
 
 def read_tuple_bin(spark: SparkSession, path: str, width: int = 4) -> DataFrame:
