@@ -9,11 +9,15 @@ weighted Jaccard similarity. Points are drawn in time order for all shingles at
 every component has a point earlier than the process's next one.
 
 Texts that are equal are one node. Nodes that share a band are candidates. A bucket is never expanded into
-all its pairs: its nodes are compared with one pivot (the same one in most bands of a group), links join
-components, and only buckets that still hold several components go on with another pivot - next the node
-with most links so far, then others by hash - for ROUNDS rounds at least and until a round finds no link. What
-then is left of small buckets is compared whole. Candidates are verified by the multiset overlap of the
-whole texts.
+all its pairs. Its nodes are compared with a pivot, the node whose buckets hold most nodes together: in a
+group of edited copies that is the original, or what comes closest to it, in every band. Links join
+components. Buckets that still hold several go on with more pivots, the best one of each of SLOTS hashed
+parts, and again with others from outside the first pivot's component; buckets of up to SMALL_BUCKET nodes
+are then finished: all their pairs of different components are compared. A candidate has to pass bounds on
+sizes and on a two-bit sketch of the signatures (five standard deviations wide at the threshold) and is
+verified by the multiset overlap of the whole texts. Every step is linear in the buckets' rows. A link can be missed if its
+texts share no band (chance below 2e-7 at similarity 0.8), or if all bands they share (13 of 40 on average)
+have larger buckets, neither text was a pivot there, and no chain of other links joins them.
 
 Returned is a row per document: doc_id, text_id (the smallest doc_id with an equal text) and class_id (the
 smallest doc_id of its component). Defined results: a null text is alone in its class, whatever its doc_id's
@@ -28,18 +32,19 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, stored, table
-from .components import components
+from .components import components, joined
 from .decontamination import shingle_codes, words_of
 
 ROWS, BANDS = 5, 40
 SHINGLE = 5
 THRESHOLD = 0.8
-ROUNDS = 3
-SMALL_BUCKET = 24
+SLOTS = 3
+SMALL_BUCKET = 64
+PLANE = 4
 BROADCAST_IDS = 1_000_000
 _U = np.uint64
 _WORDS: dict[bytes, int] = {}
@@ -131,6 +136,24 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """Two bits of each component as two planes of PLANE longs."""
+    planes = [np.pad(((signature >> _U(b)) & _U(1)).astype(bool), ((0, 0), (0, PLANE * 64 - signature.shape[1]))) for b in (0, 1)]
+    return np.concatenate([np.packbits(x, axis=1).view(np.int64) for x in planes], 1)
+
+
+def most_different(threshold: float) -> int:
+    """Two-bit components that differ in texts just similar enough: the mean and five standard deviations."""
+    m, p = ROWS * BANDS, 0.75 * (1 - threshold)
+    return int(m * p + 5 * (m * p * (1 - p)) ** 0.5)
+
+
+def difference(a: Column, b: Column) -> Column:
+    """In how many components two sketches differ."""
+    parts = [F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i)).bitwiseOR(F.get(a, i + PLANE).bitwiseXOR(F.get(b, i + PLANE)))) for i in range(PLANE)]
+    return sum(parts[1:], parts[0])
+
+
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two bags."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -139,8 +162,8 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return both / whole if whole else 0.0
 
 
-def fingerprints(docs: DataFrame, chunk: int = 1_500_000) -> DataFrame:
-    """(doc_id, digest, n, bands) of every row with a doc_id and a text; n: shingles, 0 without words."""
+def fingerprints(docs: DataFrame, chunk: int = 800_000) -> DataFrame:
+    """(doc_id, digest, n, bands, sketch) of every row with a doc_id and a text; n: shingles, 0 without words."""
     bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("body")).where("doc_id is not null and text is not null")
 
@@ -154,14 +177,15 @@ def fingerprints(docs: DataFrame, chunk: int = 1_500_000) -> DataFrame:
                 first = {d: i for i, d in reversed(list(enumerate(digests)))}  # copies are done once
                 bags = {d: shingles(texts[i]) for d, i in first.items()}
                 full = [d for d, (c, _) in bags.items() if len(c)]
-                keys = dict(zip(full, band_keys(signatures([bags[d] for d in full])).tolist(), strict=True)) if full else {}
+                signed = signatures([bags[d] for d in full]) if full else np.zeros((0, ROWS * BANDS), _U)
+                keys = dict(zip(full, zip(band_keys(signed).tolist(), sketches(signed).tolist(), strict=True), strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(digests, pa.binary()), pa.array([int(bags[d][1].sum()) for d in digests], pa.int64()),
-                     pa.array([keys.get(d, []) for d in digests], pa.list_(pa.int64()))],
-                    names=["doc_id", "digest", "n", "bands"],
+                     *(pa.array([keys.get(d, ([], []))[i] for d in digests], pa.list_(pa.int64())) for i in (0, 1))],
+                    names=["doc_id", "digest", "n", "bands", "sketch"],
                 )
 
-    return rows.mapInArrow(made, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest binary, n bigint, bands array<bigint>")
+    return rows.mapInArrow(made, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest binary, n bigint, bands array<bigint>, sketch array<bigint>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -188,56 +212,48 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, text_id, class_id), a row per distinct doc_id."""
     prints = stored(fingerprints(docs), "prints")
-    nodes = stored(prints.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "bands")).alias("x")).select("digest", F.col("x.doc_id").alias("v"), "x.n", "x.bands"), "nodes")
+    nodes = stored(prints.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "bands", "sketch")).alias("x")).select("digest", F.col("x.doc_id").alias("v"), "x.n", "x.bands", "x.sketch"), "nodes")
     keyed = nodes.where("n > 0").select("v", "n", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     buckets = stored(keyed.join(shared, "key"), "buckets")
-    links = classes = tested = texts = None
-    r, last = 0, False
-    while True:
-        here = buckets.withColumn("c", F.col("v"))
-        if classes is not None:
+    hubs = buckets.groupBy("v").agg(F.sum("size").alias("hub"))
+    buckets = stored(buckets.join(hubs.join(nodes.select("v", "sketch"), "v"), "v"), "hubs")
+    texts = stored(texts_of(docs, hubs.select("v")), "texts")
+    classes = tested = None
+
+    def close(n: str, sketch: str, m: str, other: str) -> Column:
+        sizes = F.least(n, m) >= F.greatest(n, m) * F.lit(threshold)
+        return sizes & (difference(F.col(sketch), F.col(other)) <= most_different(threshold))
+
+    for r in range(3):
+        if r == 0:
+            here = buckets.withColumns({"c": F.col("v"), "top": F.lit(None).cast(nodes.schema["v"].dataType)})
+        else:
             here = buckets.join(classes, "v", "left").withColumn("c", F.coalesce("c", "v"))
-            mixed = here.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
-            here = stored(here.join(mixed.select("key"), "key", "left_semi"), "mixed")
-        if r == 1 and links is not None:
-            degree = links.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("d"))
-            here = here.join(degree, "v", "left")
-        close = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(threshold)
-        if not last:
-            rank = F.struct(F.coalesce(-F.col("d"), F.lit(0)).alias("d") if "d" in here.columns else F.lit(0).alias("d"), F.xxhash64("v", F.lit(r)).alias("h"), "v", "n", "c")
-            pivots = here.groupBy("key").agg(F.min(rank).alias("p"))
-            met = here.join(pivots, "key").where((F.col("c") != F.col("p.c")) & close(F.col("n"), F.col("p.n"))).select("v", F.col("p.v").alias("w"))
-        else:  # what is left of small buckets, whole
-            few = here.where(F.col("size") <= SMALL_BUCKET).select("key", "v", "n", "c")
-            other = few.select("key", F.col("v").alias("w"), F.col("n").alias("m"), F.col("c").alias("k"))
-            met = few.join(other, "key").where((F.col("v") < F.col("w")) & (F.col("c") != F.col("k")) & close(F.col("n"), F.col("m"))).select("v", "w")
+            top = here.groupBy("key").agg(F.max(F.struct("hub", "v", "c"))["c"].alias("top"), F.min("c").alias("low"), F.max("c").alias("high"))
+            here = stored(here.join(top.where("low <> high").select("key", "top"), "key"), "mixed")
+        # one pivot of each bucket at first; then one of each slot, the second time from outside the first one's component
+        slot = F.lit(0) if r == 0 else F.pmod(F.xxhash64("v", F.lit(r)), F.lit(SLOTS))
+        rank = F.struct((F.col("hub") if r < 2 else F.xxhash64("v")).alias("h"), "v", "n", "c", "sketch")
+        pivots = (here.where("c <> top") if r == 2 else here).groupBy("key", slot.alias("slot")).agg(F.max(rank).alias("p"))
+        met = here.join(pivots, "key").where((F.col("c") != F.col("p.c")) & close("n", "sketch", "p.n", "p.sketch")).select("v", F.col("p.v").alias("w"))
+        if r == 2:  # what is left of small buckets, whole
+            few = here.where(F.col("size") <= SMALL_BUCKET).select("key", "v", "n", "c", "sketch")
+            other = few.select("key", F.col("v").alias("w"), F.col("n").alias("m"), F.col("c").alias("k"), F.col("sketch").alias("other"))
+            rest = few.join(other, "key").where((F.col("v") < F.col("w")) & (F.col("c") != F.col("k")) & close("n", "sketch", "m", "other")).select("v", "w")
+            met = met.unionByName(rest)
         pairs = met.select(F.greatest("v", "w").alias("a"), F.least("v", "w").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
-        r += 1
-        if pairs.isEmpty():
-            if r == 1 or last:
-                break
-            last = True
-            continue
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-        texts = stored(texts_of(docs, wanted), "texts")
         found = stored(verify(pairs, texts, threshold), "links")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        fresh = not found.isEmpty()
-        if fresh or classes is None:
-            classes = components(links)
-        if last:
-            break
-        last = r >= ROUNDS and not fresh
+        if r == 0:
+            classes = components(found)
+        elif not found.isEmpty():
+            classes = joined(classes, found)
     own = prints.select("doc_id", "digest").join(nodes.select("digest", "v"), "digest").select("doc_id", F.col("v").alias("text_id"))
-    if classes is None:
-        done = own.withColumn("class_id", F.col("text_id"))
-    else:
-        done = own.join(classes.withColumnRenamed("v", "text_id"), "text_id", "left").select("doc_id", "text_id", F.coalesce("c", "text_id").alias("class_id"))
+    done = own.join(classes.withColumnRenamed("v", "text_id"), "text_id", "left").select("doc_id", "text_id", F.coalesce("c", "text_id").alias("class_id"))
     bare = docs.where("doc_id is not null and text is null").select("doc_id", F.col("doc_id").alias("text_id"), F.col("doc_id").alias("class_id"))
     return done.unionByName(bare).groupBy("doc_id").agg(F.min("text_id").alias("text_id"), F.min("class_id").alias("class_id"))
 
@@ -265,3 +281,19 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def op1_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+SQL = r"""
+with recursive d as (select doc_id, text from documents where doc_id is not null and text is not null),
+t as (select text, min(doc_id) as v from d group by 1),
+w as (select v, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from t),
+s as (select v, array_to_string(ws[i:i + 4], ' ') as g, count(*) as c from (select v, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) as i from w where len(ws) > 0) group by 1, 2),
+n as (select v, sum(c) as n from s group by 1),
+p as (select a.v as x, b.v as y, sum(least(a.c, b.c)) as o from s a join s b on a.g = b.g and a.v < b.v group by 1, 2),
+l as (select x, y from p join n nx on nx.v = x join n ny on ny.v = y where o / (nx.n + ny.n - o)::double >= 0.8),
+e as (select x, y from l union all select y, x from l),
+r as (select x, y from e union select r.x, e.y from r join e on e.x = r.y),
+k as (select t.text, t.v, least(t.v, coalesce(min(r.y), t.v)) as c from t left join r on r.x = t.v group by 1, 2),
+f as (select d.doc_id, k.v, k.c from d join k using (text) union all select doc_id, doc_id, doc_id from documents where doc_id is not null and text is null)
+select doc_id, min(v) as text_id, min(c) as class_id from f group by 1
+"""
