@@ -12,7 +12,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in spark.checkpoint.dir; a local session without that setting uses a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="wedgeworks-")
         spark.conf.set("spark.checkpoint.dir", root)
