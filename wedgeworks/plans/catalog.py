@@ -29,11 +29,17 @@ def raw(spark, sf_dir, sparse=False):
 
 
 def pairs(spark, sf_dir, sparse=False):
-    return build.undirected(raw(spark, sf_dir, sparse))
+    """The undirected graph, written once: orientation reads it for edges and for both ends' degrees."""
+    return kept(build.undirected(raw(spark, sf_dir, sparse)), "pairs")
 
 
 def ordered(spark, sf_dir, sparse=False):
-    return orient.by_degree(pairs(spark, sf_dir, sparse))
+    """The oriented graph, written once: neighbour lists are read from it on both sides of a join."""
+    return kept(orient.by_degree(pairs(spark, sf_dir, sparse)), "oriented")
+
+
+def symmetric(spark, sf_dir, sparse=False):
+    return build.symmetrise(pairs(spark, sf_dir, sparse))
 
 
 def prefix(sparse: bool = False) -> str:
@@ -73,7 +79,7 @@ def triangle_count_join(spark, sf_dir):
 
 @query("triangle_count_unreduced", "select cast(count(*) // 6 as bigint) n_triangles from u x join u y on x.s = y.s join u z on z.s = x.d and z.d = y.d")
 def triangle_count_unreduced(spark, sf_dir):
-    return triangles.count_unreduced(build.clean(raw(spark, sf_dir)))
+    return triangles.count_unreduced(symmetric(spark, sf_dir))
 
 
 @query("triangle_count_by_id", "select count(*) n_triangles from t")
@@ -98,7 +104,7 @@ def triangle_count_trimmed(spark, sf_dir):
 
 @query("copurchase_edges", "select src, dst from p")
 def copurchase_edges(spark, sf_dir):
-    return pairs(spark, sf_dir)
+    return build.undirected(raw(spark, sf_dir))
 
 
 @query("raw_loops_and_dups", "select (select count(*) from rawp) raw_rows, (select count(*) from rawp where src = dst) loop_rows, (select count(*) - count(distinct (least(src, dst), greatest(src, dst))) from rawp where src <> dst) repeat_rows")
@@ -118,39 +124,39 @@ def shifted_edges(spark, sf_dir):
 
 @query("degree", "select v, n deg from g")
 def degree_query(spark, sf_dir):
-    return degree.degree_undirected(pairs(spark, sf_dir))
+    return degree.degree_undirected(build.undirected(raw(spark, sf_dir)))
 
 
 @query("degree_hist", "select n deg, count(*) n_vertices from g group by 1")
 def degree_hist(spark, sf_dir):
-    return degree.histogram(degree.degree_undirected(pairs(spark, sf_dir)))
+    return degree.histogram(degree.degree_undirected(build.undirected(raw(spark, sf_dir))))
 
 
 @query("graph_stats", "select count(*) n_vertices, cast(sum(n) as bigint) n_edges, min(v) min_id, max(v) max_id, min(n) min_degree, max(n) max_degree from g")
 def graph_stats(spark, sf_dir):
-    return degree.graph_stats(build.clean(raw(spark, sf_dir)))
+    return degree.graph_stats(symmetric(spark, sf_dir))
 
 
 @query("csr_offsets", "select v, n deg, cast(sum(n) over (order by v) - n as bigint) begin_pos from g")
 def csr_offsets(spark, sf_dir):
-    return degree.csr_offsets(build.clean(raw(spark, sf_dir)))
+    return degree.csr_offsets(symmetric(spark, sf_dir))
 
 
 @query("csr_neighbor_rank", "select s src, d dst, row_number() over (partition by s order by d) - 1 pos from u")
 def csr_neighbor_rank(spark, sf_dir):
-    return degree.neighbour_rank(build.clean(raw(spark, sf_dir)))
+    return degree.neighbour_rank(symmetric(spark, sf_dir))
 
 
 @query("adjacency", "select s src, count(*) n, min(d) low, max(d) high, sha256(string_agg(cast(d as varchar), ',' order by d)) listing from u group by 1")
 def adjacency(spark, sf_dir):
-    adj = triangles.adjacency(build.clean(raw(spark, sf_dir)))
+    adj = triangles.adjacency(symmetric(spark, sf_dir))
     text = F.array_join(F.transform("nbrs", lambda x: x.cast("string")), ",")
     return adj.select("src", F.size("nbrs").cast("long").alias("n"), F.element_at("nbrs", 1).alias("low"), F.element_at("nbrs", -1).alias("high"), F.sha2(text, 256).alias("listing"))
 
 
 @query("edge_preview", "select s src, d dst from u order by 1, 2 limit 64")
 def edge_preview(spark, sf_dir):
-    return degree.preview(build.clean(raw(spark, sf_dir)), 64)
+    return degree.preview(symmetric(spark, sf_dir), 64)
 
 
 @query("orient_by_degree", "select s src, d dst from o")
@@ -160,7 +166,7 @@ def orient_by_degree(spark, sf_dir):
 
 @query("orient_by_id", "select src, dst from p")
 def orient_by_id(spark, sf_dir):
-    return orient.by_id(pairs(spark, sf_dir))
+    return orient.by_id(build.undirected(raw(spark, sf_dir)))
 
 
 @query("orient_by_revdegree", "select s src, d dst from ud where ns > nd or (ns = nd and s < d)")
@@ -258,14 +264,14 @@ def row_cuts_weighted(spark, sf_dir):
 
 @query("col_part_counts", COL_SQL + f" select {COL_OF.format('t.c')} k, count(*) n_triangles from t group by 1")
 def col_part_counts(spark, sf_dir):
-    o = kept(ordered(spark, sf_dir), "oriented")
+    o = ordered(spark, sf_dir)
     cuts = partition.bounds(partition.column_cuts(o, COLUMNS))
     return partition.column_counts(o, lambda v: partition.part_of(v, cuts))
 
 
 @query("row_cuts_greedy")
 def row_cuts_greedy(spark, sf_dir):
-    o = kept(ordered(spark, sf_dir), "oriented")
+    o = ordered(spark, sf_dir)
     cuts = partition.bounds(partition.column_cuts(o, COLUMNS))
     size = o.count() // (COLUMNS * ROWS)
     found = partition.greedy_row_cuts(o, partition.part_of(F.col("dst"), cuts), size)
@@ -279,7 +285,7 @@ cc as (select k, v, sum(w) over (partition by k order by v) total, sum(w) over (
 select k, cast(least(floor((total - 1) * {ROWS} / al), {ROWS} - 1) as bigint) part, max(v) hi from cc group by 1, 2""",
 )
 def row_cuts_per_column(spark, sf_dir):
-    o = kept(ordered(spark, sf_dir), "oriented")
+    o = ordered(spark, sf_dir)
     cuts = partition.bounds(partition.column_cuts(o, COLUMNS))
     return partition.per_column_row_cuts(o, partition.part_of(F.col("dst"), cuts), ROWS)
 
@@ -293,13 +299,13 @@ def step(u: DataFrame, parts: int) -> int:
 
 @query("uniform_cells", STEP_SQL + " select s // step i, d // step j, count(*) n_edges from u, st group by 1, 2")
 def uniform_cells(spark, sf_dir):
-    u = build.clean(raw(spark, sf_dir))
+    u = symmetric(spark, sf_dir)
     n = step(u, GRID)
     return partition.cell_sizes(u, partition.uniform_part(F.col("src"), n), partition.uniform_part(F.col("dst"), n))
 
 
 def cells(spark, sf_dir):
-    o = kept(ordered(spark, sf_dir), "oriented")
+    o = ordered(spark, sf_dir)
     top = o.agg(F.max(F.greatest("src", "dst"))).first()[0] or 0
     n, m = partition.uniform_step(top, GRID), partition.uniform_step(top, COLUMNS)
     return partition.cell_counts(o, lambda v: partition.uniform_part(v, n), lambda v: partition.uniform_part(v, m))
@@ -317,7 +323,7 @@ def cell_pair_counts(spark, sf_dir):
 
 @query("cell_check", "select cast(0 as bigint) n_violations")
 def cell_check(spark, sf_dir):
-    u = build.clean(raw(spark, sf_dir))
+    u = symmetric(spark, sf_dir)
     n = step(u, GRID)
     limits = [(axis, i, i * n, (i + 1) * n - 1) for axis in ("row", "column") for i in range(GRID)]
     named = spark.createDataFrame(limits, "axis string, part long, lo long, hi long")
@@ -356,19 +362,19 @@ def sources(u: DataFrame) -> DataFrame:
 
 @query("bfs_levels", SEARCH_SQL + f" select s, v, level from ({LEVELS_SQL})", sparse=True)
 def bfs_levels(spark, sf_dir):
-    u = build.clean(raw(spark, sf_dir, True))
+    u = symmetric(spark, sf_dir, True)
     return traversal.levels(u, sources(u)).select("s", "v", "level")
 
 
 @query("bfs_path_counts", SEARCH_SQL + f" select s, v, sigma from ({LEVELS_SQL})", sparse=True)
 def bfs_path_counts(spark, sf_dir):
-    u = build.clean(raw(spark, sf_dir, True))
+    u = symmetric(spark, sf_dir, True)
     return traversal.levels(u, sources(u)).select("s", "v", "sigma")
 
 
 @query("betweenness_sample", SEARCH_SQL + BACK_SQL + f" select v, round(sum(delta), 6) bc from ({BC_SQL}) group by 1", sparse=True)
 def betweenness_sample(spark, sf_dir):
-    u = build.clean(raw(spark, sf_dir, True))
+    u = symmetric(spark, sf_dir, True)
     return traversal.betweenness(u, sources(u)).select("v", F.round("bc", 6).alias("bc"))
 
 
@@ -381,7 +387,7 @@ def edge_text_roundtrip(spark, sf_dir):
 
 @query("cell_roundtrip", STEP_SQL + " select s src, d dst from u, st where s // step = 1 and d // step = 2", sparse=True)
 def cell_roundtrip(spark, sf_dir):
-    u = build.clean(raw(spark, sf_dir, True))
+    u = symmetric(spark, sf_dir, True)
     n = step(u, GRID)
     placed = u.withColumns({"row_part": partition.uniform_part(F.col("src"), n), "col_part": partition.uniform_part(F.col("dst"), n)})
     path = scratch_path(spark, "cells")
@@ -398,6 +404,6 @@ select count(*) n_lines, cast(sum(try_cast(line as bigint)) as bigint) total fro
 )
 def adjacency_text(spark, sf_dir):
     path = scratch_path(spark, "adjacency-text")
-    source.write_adjacency_text(build.clean(raw(spark, sf_dir, True)), path)
+    source.write_adjacency_text(symmetric(spark, sf_dir, True), path)
     lines = spark.read.text(path)
     return lines.agg(F.count("*").alias("n_lines"), F.sum(F.col("value").try_cast("bigint")).alias("total"))
