@@ -7,8 +7,7 @@ leaves at the first rejection, so expensive rules see few texts. The order chang
 is kept exactly if no rule rejects it.
 
 Words are runs of characters other than ASCII white space. Repeated three-word windows are found by
-sorting the windows of one text; a text whose windows are all different (by 64-bit hash, which has no
-false negatives) is done without sorting, and others compare the words themselves.
+their hashes, which have no false negatives, and comparing the words of those that meet.
 
 Defined results: null text counts as empty, has 0 words and is rejected; rows are independent of each
 other, so ties and repeats agree; an empty table gives an empty result.
@@ -28,6 +27,7 @@ from .mixing import GAP
 SYMBOLS = r"[#*$%&|<>]"
 LETTER = r"\p{L}"
 SAMPLE_ROWS = 400
+WORDS = "_words"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -44,39 +44,49 @@ def lines_with_words(text: Column) -> Column:
 
 
 def repeat_words(words: Column) -> Column:
-    """How many words lie in three-word windows that occur twice or more."""
+    """How many words lie in three-word windows that occur twice or more.
+
+    Window hashes that are all different settle most texts. For others the hashes are sorted as numbers whose
+    low bits hold the window's place, and neighbours with one hash compare their words. Should those differ,
+    or the text be too long for the low bits, the windows themselves are sorted.
+    """
+    bits = 20
 
     def starts(w: Column) -> Column:
         return F.sequence(F.lit(0), F.size(w) - 3)
 
-    def at(w: Column, i: Column) -> Column:
-        return F.get(w, i)
-
-    def slow(w: Column) -> Column:
-        windows = F.sort_array(F.transform(starts(w), lambda i: F.struct(at(w, i).alias("a"), at(w, i + 1).alias("b"), at(w, i + 2).alias("c"), i.alias("i"))))
+    def covered(places: Column) -> Column:
+        return F.size(F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(i, i + 1, i + 2)))))
 
-        def same(x: Column, y: Column) -> Column:
-            return (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
+    def equal(w: Column, i: Column, j: Column) -> Column:
+        return (F.get(w, i) == F.get(w, j)) & (F.get(w, i + 1) == F.get(w, j + 1)) & (F.get(w, i + 2) == F.get(w, j + 2))
 
-        def covered(s: Column) -> Column:
-            twice = F.filter(s, lambda x, j: F.coalesce((j > 0) & same(x, F.get(s, j - 1)), F.lit(False)) | F.coalesce(same(x, F.get(s, j + 1)), F.lit(False)))
-            return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
+    def by_words(w: Column) -> Column:
+        windows = F.sort_array(F.transform(starts(w), lambda i: F.struct(F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.alias("i"))))
+        same = lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
+        twice = lambda s: F.filter(s, lambda x, j: F.coalesce((j > 0) & same(x, F.get(s, j - 1)), F.lit(False)) | F.coalesce(same(x, F.get(s, j + 1)), F.lit(False)))
+        return let(windows, lambda s: covered(F.transform(twice(s), lambda x: x["i"])))
 
-        return let(windows, covered)
+    def by_hash(w: Column, codes: Column) -> Column:
+        place = lambda x: x.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+        alike = lambda x, y: F.shiftright(x.bitwiseXOR(y), bits) == 0
+        keys = F.sort_array(F.transform(codes, lambda c, i: c.bitwiseAND(F.lit(-1 << bits)).bitwiseOR(i.cast("long"))))
+        near = lambda k: F.filter(k, lambda x, j: F.coalesce((j > 0) & alike(x, F.get(k, j - 1)), F.lit(False)) | F.coalesce(alike(x, F.get(k, j + 1)), F.lit(False)))
+        clash = lambda t: F.exists(F.transform(t, lambda x, j: F.coalesce(alike(x, F.get(t, j + 1)) & ~equal(w, place(x), place(F.get(t, j + 1))), F.lit(False))), lambda x: x)
+        return let(let(keys, near), lambda t: F.when(clash(t), by_words(w)).otherwise(covered(F.transform(t, place))))
 
-    def fast(w: Column) -> Column:
-        codes = F.transform(starts(w), lambda i: F.xxhash64(at(w, i), at(w, i + 1), at(w, i + 2)))
-        return let(codes, lambda c: F.when(F.size(F.array_distinct(c)) == F.size(c), 0).otherwise(slow(w)))
+    def counted(w: Column) -> Column:
+        codes = F.transform(starts(w), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+        return let(codes, lambda c: F.when(F.size(F.array_distinct(c)) == F.size(c), 0).when(F.size(c) >= 1 << bits, by_words(w)).otherwise(by_hash(w, c)))
 
-    return let(words, lambda w: F.when(F.size(w) < 6, F.when(F.size(w) < 4, 0).otherwise(slow(w))).otherwise(fast(w))).cast("long")
+    return let(words, lambda w: F.when(F.size(w) < 4, 0).otherwise(counted(w))).cast("long")
 
 
-def base_columns(text: Column) -> dict[str, Column]:
-    words, lines = word_list(text), lines_with_words(text)
-    full = F.coalesce(text, F.lit(""))
+def base_columns(text: Column, words: Column) -> dict[str, Column]:
+    lines, full = lines_with_words(text), F.coalesce(text, F.lit(""))
     return {
         "n_words": F.size(words).cast("long"),
-        "word_chars": F.length(F.regexp_replace(full, GAP, "")).cast("long"),
+        "word_chars": F.length(F.array_join(words, "")).cast("long"),
         "n_symbols": F.length(full).cast("long") - F.length(F.regexp_replace(full, SYMBOLS + "+", "")),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "n_repeat_words": repeat_words(words),
@@ -87,22 +97,27 @@ def share(part: Column, of: Column) -> Column:
     return part / F.greatest(of, F.lit(1))
 
 
-def rules(text: Column) -> dict[str, Column]:
+def rules(text: Column, words: Column) -> dict[str, Column]:
     """Name -> whether the text is rejected. Thresholds follow common published heuristics for web text."""
     full = F.coalesce(text, F.lit(""))
-    words = word_list(full)
     without = lambda pattern: F.length(full) - F.length(F.regexp_replace(full, pattern, ""))
+    lettered = F.size(F.filter(words, lambda x: F.rlike(x, F.lit(LETTER))))
     return {
         "few_words": F.size(words) < 50,
-        "repeats": let(words, lambda w: repeat_words(w) * 100 > F.size(w) * 50),
+        "repeats": repeat_words(words) * 100 > F.size(words) * 50,
         "symbols": share(without(SYMBOLS + "+"), F.size(words)) > 0.25,
         "shouting": let(without(r"\p{Lu}+"), lambda up: (up > 50) & (up > without(r"\p{Ll}+"))),
         "exclaiming": share(without(r"[!?]+"), F.size(words)) > 0.5,
-        "no_letters": let(words, lambda w: share(F.size(F.filter(w, lambda x: F.rlike(x, F.lit(LETTER)))), F.size(w)) < 0.5),
+        "no_letters": share(lettered, F.size(words)) < 0.5,
         "dup_lines": let(lines_with_words(full), lambda x: (F.size(x) - F.size(F.array_distinct(x))) * 2 > F.size(x)),
     }
 
 
+def with_words(docs: DataFrame) -> DataFrame:
+    """Adds the word list, on which most rules work, so that a text is split once."""
+    return docs.withColumn(WORDS, word_list(F.col("text")))
+
+
 def measured_order(docs: DataFrame, tests: dict[str, Column], sample_rows: int = SAMPLE_ROWS) -> list[str]:
     """Rule names by rejections per cost, on the first sample_rows rows that a scan meets."""
     names = list(tests)
@@ -116,7 +131,7 @@ def measured_order(docs: DataFrame, tests: dict[str, Column], sample_rows: int =
         return best
 
     rejected = [[bool(r[n]) for n in names] for r in docs.select(*[tests[n].alias(n) for n in names]).take(sample_rows)]
-    scan = seconds(F.length("text").alias("x"))
+    scan = seconds(F.size(WORDS).alias("x"))
     cost = {n: max(1e-4, seconds(tests[n].alias("x")) - scan) for n in names}
     order: list[str] = []
     while len(order) < len(names):
@@ -135,9 +150,9 @@ def cascade(tests: dict[str, Column], order: list[str]) -> Column:
 
 def judge(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Adds rejected_by (null for rows to keep) to rows with a ``text``."""
-    docs = docs.drop("rejected_by")
-    tests = rules(F.col("text"))
-    return docs.withColumn("rejected_by", cascade(tests, measured_order(docs, tests, sample_rows)))
+    docs = with_words(docs.drop("rejected_by", WORDS))
+    tests = rules(F.col("text"), F.col(WORDS))
+    return docs.withColumn("rejected_by", cascade(tests, measured_order(docs, tests, sample_rows))).drop(WORDS)
 
 
 def keep_good(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -145,10 +160,28 @@ def keep_good(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
 
 
 def op3_quality_rules(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    tests = {n: c for n, c in rules(F.col("text")).items() if n not in ("few_words", "repeats")}  # those two are the base
+    docs = with_words(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text, words = F.col("text"), F.col(WORDS)
+    tests = {n: c for n, c in rules(text, words).items() if n not in ("few_words", "repeats")}  # those two are the base
     order = measured_order(docs, tests)
-    base = docs.withColumns(base_columns(F.col("text")))
+    base = docs.withColumns(base_columns(text, words))
     base = base.withColumn("base_failed", (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50))
     verdict = F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade(tests, order).isNull())
     return base.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", verdict.alias("kept"))
+
+
+SQL = r"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+w as (select doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
+g as (select doc_id, i, ws[i] as a, ws[i + 1] as b, ws[i + 2] as c from (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from w where len(ws) > 2)),
+m as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, a, b, c) as n from g) where n > 1),
+c as (select doc_id, count(distinct p) as n from (select doc_id, unnest([i, i + 1, i + 2]) as p from m) group by 1),
+f as (select w.doc_id, t, ws, ls, cast(len(ws) as bigint) as n_words, cast(length(array_to_string(ws, '')) as bigint) as word_chars,
+    cast(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words
+  from w left join c using (doc_id)),
+j as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, greatest(n_words, 1)::double as one,
+    length(regexp_replace(t, '\P{Lu}', '', 'g')) as up, length(regexp_replace(t, '\P{Ll}', '', 'g')) as low, length(regexp_replace(t, '[^!?]', '', 'g')) as cries,
+    len(list_filter(ws, lambda x: regexp_matches(x, '\p{L}'))) as lettered from f)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not (base_failed or n_symbols / one > 0.25 or (up > 50 and up > low) or cries / one > 0.5 or lettered / one < 0.5 or n_dup_lines * 2 > len(ls)) as kept from j
+"""
