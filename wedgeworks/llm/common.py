@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = "file://" + tempfile.mkdtemp(prefix="wedgeworks-")
     spark.conf.set("spark.checkpoint.dir", path)
@@ -60,3 +60,8 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20)
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "2147483647")) > size:
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Marks a table of narrow rows for broadcast if a count finds no more than so many; else leaves the join to Spark."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

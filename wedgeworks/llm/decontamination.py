@@ -6,8 +6,8 @@ containment of 1 needs a prefix of one shingle only: the rarest one of each wind
 shingles are joined with anchors; the anchor's offset gives the one place where the window could lie
 (positional bound), which has to lie inside the document (length bound); there all words are compared.
 
-Rarity is the number of item windows that hold a shingle, then the shingle's code; any order gives the
-same matches. The index of a block of items is broadcast; a block holds at most ``block_bytes`` of item
+Rarity is how often a shingle occurs in all documents, counted in a pass of its own for the shingles of the
+items only; any order gives the same matches. The index of a block of items is broadcast; a block holds at most ``block_bytes`` of item
 text, and a larger benchmark is split into blocks that pass over the documents one after the other, each
 result written to the shared folder before the next. Documents are never shuffled.
 
@@ -17,7 +17,7 @@ items that share an id count once, a null id counts as the empty id; rows are in
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -62,26 +62,40 @@ class WindowIndex:
             for at in range(max(1, len(ids) - width + 1) if ids else 0):
                 self.windows[tuple(ids[at : at + width])].add(name)
         self.windows = dict(self.windows)
-        held: dict[int, Counter] = defaultdict(Counter)
-        codes = {}
+        #: shingle length -> codes of all windows, sorted
+        self.codes = {k: np.unique(np.concatenate([shingle_codes(np.array(w, np.int64), k) for w in self.windows if min(SHINGLE, len(w)) == k])) for k in {min(SHINGLE, len(w)) for w in self.windows}}
+        self.anchors: dict[int, dict[int, set[tuple[int, int]]]] = {}
+        self.sorted: dict[int, np.ndarray] = {}
+
+    def numbers(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """All words by number in the vocabulary, -1 for others, and where texts start."""
+        starts = np.cumsum([0, *map(len, texts)])
+        get = self.vocabulary.get
+        return np.fromiter((x for words in texts for x in map(get, words, repeat(-1))), np.int64, int(starts[-1])), starts
+
+    def count(self, texts: list[list[bytes]], into: dict[int, np.ndarray]) -> None:
+        """Adds how often each code occurs; runs across two texts count too, which only shifts the order."""
+        ids, _ = self.numbers(texts)
+        for k, known in self.codes.items():
+            codes = shingle_codes(ids, k)
+            near = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+            into[k] += np.bincount(near[known[near] == codes], minlength=len(known))
+
+    def choose(self, counts: dict[int, np.ndarray]) -> None:
+        """Makes the rarest shingle of each window its anchor: shingle length -> code -> {(offset, window length)}."""
+        anchors: dict[int, dict[int, set[tuple[int, int]]]] = defaultdict(lambda: defaultdict(set))
         for window in self.windows:
             k = min(SHINGLE, len(window))
-            codes[window] = shingle_codes(np.array(window, np.int64), k).tolist()
-            held[k].update(set(codes[window]))
-        #: shingle length -> code -> {(offset, window length)}
-        self.anchors: dict[int, dict[int, set[tuple[int, int]]]] = defaultdict(lambda: defaultdict(set))
-        for window, own in codes.items():
-            k = min(SHINGLE, len(window))
-            offset = min(range(len(own)), key=lambda i: (held[k][own[i]], own[i]))
-            self.anchors[k][own[offset]].add((offset, len(window)))
-        self.anchors = {k: dict(v) for k, v in self.anchors.items()}
+            own = shingle_codes(np.array(window, np.int64), k)
+            seen = counts[k][np.searchsorted(self.codes[k], own)]
+            offset = min(range(len(own)), key=lambda i: (seen[i], own[i]))
+            anchors[k][int(own[offset])].add((offset, len(window)))
+        self.anchors = {k: dict(v) for k, v in anchors.items()}
         self.sorted = {k: np.sort(np.fromiter(v, np.uint64, len(v))) for k, v in self.anchors.items()}
 
     def find(self, texts: list[list[bytes]]) -> dict[int, tuple[list[tuple[int, int]], set[str]]]:
         """By text: the word ranges that windows cover, and their items."""
-        starts = np.cumsum([0, *map(len, texts)])
-        get = self.vocabulary.get
-        ids = np.fromiter((x for words in texts for x in map(get, words, repeat(-1))), np.int64, int(starts[-1]))
+        ids, starts = self.numbers(texts)
         found: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
         for k, anchors in self.sorted.items():
             codes = shingle_codes(ids, k)
@@ -112,7 +126,26 @@ def merged(ranges: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def indexes(items: DataFrame, width: int, block_bytes: int) -> Iterator[tuple[Broadcast, bool]]:
+def shingle_counts(docs: DataFrame, index: Broadcast, chunk: int) -> dict[int, np.ndarray]:
+    """How often each shingle of the index occurs in all documents; a task sends one row per shingle at most."""
+    codes = index.value.codes
+    bodies = docs.select(F.col("text").cast("binary").alias("body")).where("body is not null")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = {k: np.zeros(len(v), np.int64) for k, v in index.value.codes.items()}
+        for part in (p for batch in batches for p in slices(batch, chunk)):
+            index.value.count([words_of(x) for x in part.column(0).to_pylist()], seen)
+        for k, n in seen.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_pydict({"k": pa.array(np.full(len(at), k), pa.int32()), "i": pa.array(at, pa.int64()), "n": pa.array(n[at], pa.int64())})
+
+    counts = {k: np.zeros(len(v), np.int64) for k, v in codes.items()}
+    for r in bodies.mapInArrow(counted, "k int, i bigint, n bigint").groupBy("k", "i").agg(F.sum("n").alias("n")).collect():
+        counts[r.k][r.i] = r.n
+    return counts
+
+
+def indexes(docs: DataFrame, items: DataFrame, width: int, block_bytes: int, chunk: int) -> Iterator[tuple[Broadcast, bool]]:
     """Broadcast indexes of the items' blocks, and whether each is the last."""
     spark = items.sparkSession
     bounded_batches(spark)
@@ -121,7 +154,9 @@ def indexes(items: DataFrame, width: int, block_bytes: int) -> Iterator[tuple[Br
     blocks = max(1, -(-total // block_bytes))
     for b in range(blocks):
         mine = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == b)
-        yield spark.sparkContext.broadcast(WindowIndex([(r.item, bytes(r.body)) for r in mine.collect()], width)), b == blocks - 1
+        index = WindowIndex([(r.item, bytes(r.body)) for r in mine.collect()], width)
+        index.choose(shingle_counts(docs, spark.sparkContext.broadcast(index), chunk))
+        yield spark.sparkContext.broadcast(index), b == blocks - 1
 
 
 def slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
@@ -140,7 +175,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, width: int = 10, block
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("body")).withColumns(
         {"hits": F.lit(None).cast("array<bigint>"), "items": F.lit(None).cast("array<string>")}
     )
-    for index, final in indexes(items, width, block_bytes):
+    for index, final in indexes(docs, items, width, block_bytes, chunk):
 
         def searched(batches: Iterator[pa.RecordBatch], index=index, final=final) -> Iterator[pa.RecordBatch]:
             for part in (p for batch in batches for p in slices(batch, chunk)):
@@ -166,7 +201,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, width: int = 10, block
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 10, block_bytes: int = 8 << 20, chunk: int = 2_000_000) -> DataFrame:
     """The rows of docs, whole, in whose text no window occurs."""
     at = docs.columns.index("text")
-    for index, final in indexes(items, width, block_bytes):
+    for index, final in indexes(docs, items, width, block_bytes, chunk):
 
         def passed(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for part in (p for batch in batches for p in slices(batch, chunk)):
