@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import small_side, stored, table
 
 WEIGHTS = (3, 1, 2)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -73,25 +73,25 @@ def uniform(doc_id: Column, seed: int) -> Column:
 
 def scored(sized: DataFrame, goals: DataFrame, weight: str | None, seed: int) -> DataFrame:
     """Adds each row's Pareto score, mapped into (0, 1), and the score interval that holds it."""
-    p = F.col("_rest") / F.col("source_size")
+    p = F.try_divide("_rest", "source_size")
     if weight:
-        p = p * F.col(weight) / F.col("_mean")
+        p = F.try_divide(p * F.col(weight), F.col("_mean"))
     p = F.least(F.greatest(F.coalesce(p, F.lit(0.0)), F.lit(1e-9)), F.lit(1 - 1e-9))
     u = uniform(F.col("doc_id"), seed)
     score = (u / (1 - u)) / (p / (1 - p))
-    rows = sized.join(goals, "skey").withColumn("_s", score / (1 + score))
+    rows = sized.join(small_side(goals), "skey").withColumn("_s", score / (1 + score))
     return rows.withColumn("_cell", F.least(F.floor(F.col("_s") * F.col("_cells")), F.col("_cells") - 1))
 
 
-def allocation(sized: DataFrame, weights=WEIGHTS, budget: float = 1.5, cap: int = 2, weight: str | None = None, seed: int = 9, interval_docs: int = 10_000) -> DataFrame:
+def allocation(sized: DataFrame, weights=WEIGHTS, budget: float = 1.5, cap: int = 2, weight: str | None = None, seed: int = 9, interval_docs: int = 2_000) -> DataFrame:
     """A row a source: its target, whole copies, and the last (score, doc_id) that is drawn.
 
     interval_docs: about how many documents of a source share a score interval.
     """
     goals = targets(sized, weights, budget, cap)
     if weight:
-        goals = goals.join(sized.groupBy("skey").agg((F.sum(F.col("size") * F.col(weight)) / F.sum("size")).alias("_mean")), "skey")
-    share = F.col("target") / F.col("source_size")
+        goals = goals.join(sized.groupBy("skey").agg(F.try_divide(F.sum(F.col("size") * F.col(weight)), F.sum("size")).alias("_mean")), "skey")
+    share = F.try_divide("target", "source_size")
     goals = goals.withColumns({
         "_whole": F.when(F.col("source_size") > 0, F.floor(share)).otherwise(F.lit(0)).cast("long"),
         "_cells": F.ceil(F.col("n_docs") / F.lit(interval_docs)).cast("long"),
