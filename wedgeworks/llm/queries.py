@@ -20,7 +20,9 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
+    "op1_near_dedup": near_dedup.SQL,
     "op2_warc": warc.SQL,
+    "op3_quality_rules": quality_rules.SQL,
     "op4_url_filters": url_filters.SQL,
     "op8_decontamination": decontamination.SQL,
     "op9_mixing": mixing.SQL,
