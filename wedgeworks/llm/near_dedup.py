@@ -47,6 +47,8 @@ SMALL_BUCKET = 64
 PLANE = 4
 BROADCAST_IDS = 1_000_000
 _U = np.uint64
+#: Word hashes that a Python worker keeps; the table is emptied beyond that.
+KNOWN_WORDS = 200_000
 _WORDS: dict[bytes, int] = {}
 
 
@@ -65,7 +67,7 @@ def shingles(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     words = words_of(text)
     if not words:
         return np.zeros(0, _U), np.zeros(0, np.int64)
-    if len(_WORDS) > 1_000_000:
+    if len(_WORDS) > KNOWN_WORDS:
         _WORDS.clear()
     known = _WORDS
     ids = [known.get(w) for w in words]
@@ -162,7 +164,7 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return both / whole if whole else 0.0
 
 
-def fingerprints(docs: DataFrame, chunk: int = 800_000) -> DataFrame:
+def fingerprints(docs: DataFrame, chunk: int = 400_000) -> DataFrame:
     """(doc_id, digest, n, bands, sketch) of every row with a doc_id and a text; n: shingles, 0 without words."""
     bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("body")).where("doc_id is not null and text is not null")
