@@ -65,6 +65,25 @@ def test_classes_equal_brute_force(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted([(False, i) for i in set(want.values())] + [(True, 0)])
 
 
+def test_large_bucket_is_finished(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(90):  # pairs of texts unlike all others, in one bucket of 182
+        base = sentence(rng, 120)
+        rows += [" ".join(base), " ".join(edited(rng, base, rng.choice([1, 2, 3])))]
+    rows += [" ".join(["same", "words"] * 55), " ".join(["same", "words"] * 60)]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    real = N.fingerprints
+    monkeypatch.setattr(N, "fingerprints", lambda docs: real(docs).selectExpr("doc_id", "digest", "n", "array(1L) as bands", "sketch"))
+    monkeypatch.setattr(N, "PART_TEXTS", 50, raising=False)
+    monkeypatch.setattr(N, "BLOCK_SHINGLES", 3000, raising=False)
+    want = brute(rows)
+    assert len(set(want.values())) < 140
+    assert {r.doc_id: r.class_id for r in N.near_duplicates(docs).collect()} == want
+
+
 def test_small_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert N.near_duplicates(none).count() == 0 and N.keep_one(none).count() == 0

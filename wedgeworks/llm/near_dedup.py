@@ -13,11 +13,12 @@ all its pairs. Its nodes are compared with a pivot, the node whose buckets hold
 group of edited copies that is the original, or what comes closest to it, in every band. Links join
 components. Buckets that still hold several go on with more pivots, the best one of each of SLOTS hashed
 parts, and again with others from outside the first pivot's component; buckets of up to SMALL_BUCKET nodes
-are then finished: all their pairs of different components are compared. A candidate has to pass bounds on
-sizes and on a two-bit sketch of the signatures (five standard deviations wide at the threshold) and is
-verified by the multiset overlap of the whole texts. Every step is linear in the buckets' rows. A link can be missed if its
-texts share no band (chance below 2e-7 at similarity 0.8), or if all bands they share (13 of 40 on average)
-have larger buckets, neither text was a pivot there, and no chain of other links joins them.
+are then finished: all their pairs of different components are compared. Larger buckets that still hold
+several components are finished last, in blocks: every pair of different components that no pivot met. A
+candidate has to pass bounds on sizes and on a two-bit sketch of the signatures (five standard deviations wide
+at the threshold) and is verified by the multiset overlap of the whole texts. The pivots' steps are linear in
+the buckets' rows; the last one is quadratic in what they leave apart. A link can be missed only if its texts
+share no band (chance below 2e-7 at similarity 0.8) or fail the sketch's bound.
 
 Returned is a row per document: doc_id, text_id (the smallest doc_id with an equal text) and class_id (the
 smallest doc_id of its component). Defined results: a null text is alone in its class, whatever its doc_id's
@@ -44,6 +45,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 SLOTS = 3
 SMALL_BUCKET = 64
+#: Texts of a bucket's part, and shingles of a block of texts, when large buckets are finished.
+PART_TEXTS, BLOCK_SHINGLES = 1_000, 250_000
 PLANE = 4
 BROADCAST_IDS = 1_000_000
 _U = np.uint64
@@ -211,6 +214,57 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return full.select("a", "b", "left", "right").mapInArrow(tested, f"a {kind}, b {kind}")
 
 
+def leftovers(here: DataFrame, close) -> DataFrame:
+    """(a, b), a > b: pairs of different components in buckets here (key, size, v, n, c, sketch) that pass the bounds.
+
+    Buckets are cut into parts, and each text meets one part a row, so no task holds a large bucket's pairs alone.
+    """
+    parts = F.ceil(F.col("size") / F.lit(PART_TEXTS)).cast("int")
+    left = here.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "v", "n", "c", "sketch")
+    right = here.select("key", F.pmod(F.xxhash64("v"), parts).cast("int").alias("part"), F.col("v").alias("w"), F.col("n").alias("m"), F.col("c").alias("k"), F.col("sketch").alias("other"))
+    met = left.join(right, ["key", "part"]).where((F.col("v") > F.col("w")) & (F.col("c") != F.col("k")) & close("n", "sketch", "m", "other"))
+    return met.select(F.col("v").alias("a"), F.col("w").alias("b")).distinct()
+
+
+def verify_blocks(pairs: DataFrame, here: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """As verify, for many pairs of few texts: a text goes once to each cell of two blocks that has pairs of it.
+
+    A block is a part of the texts that have the same largest bucket.
+    """
+    home = here.groupBy("v").agg(F.max(F.struct("size", "key"))["key"].alias("home"), F.max("n").alias("n"))
+    parts = home.groupBy("home").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).alias("parts"))
+    blocks = stored(home.join(parts, "home").select("v", F.xxhash64("home", F.pmod(F.xxhash64("v"), "parts")).alias("block")), "blocks")
+    at = lambda x: blocks.select(F.col("v").alias(x), F.col("block").alias("at_" + x))
+    placed = pairs.join(at("a"), "a").join(at("b"), "b").select(F.least("at_a", "at_b").alias("i"), F.greatest("at_a", "at_b").alias("j"), "a", "b")
+    placed = stored(placed, "placed")
+    cell = [F.col("i").alias("k"), F.col("j").alias("l")]
+    members = placed.select(*cell, F.col("a").alias("v")).unionByName(placed.select(*cell, F.col("b").alias("v"))).distinct().join(texts.select("v", "body"), "v")
+    kind = pairs.schema["a"].dataType.simpleString()
+
+    def tested(asked: pa.Table, held: pa.Table) -> pa.Table:
+        at = {v: i for i, v in enumerate(held.column("v").to_pylist())}
+        bags = [shingles(x.as_py()) for x in held.column("body")]
+        sizes = np.array([int(n.sum()) for _, n in bags], np.int64)
+        _, ids = np.unique(np.concatenate([c for c, _ in bags] or [np.zeros(0, _U)]), return_inverse=True)
+        ids = np.split(ids, np.cumsum([len(c) for c, _ in bags])[:-1])
+        a, b = (np.array([at[v] for v in asked.column(x).to_pylist()], np.int64) for x in "ab")
+        order = np.argsort(a, kind="stable")
+        counts = np.zeros(1 + max((int(i.max()) for i in ids if len(i)), default=0), np.int64)
+        close = np.zeros(len(a), bool)
+        for mine in np.split(order, np.flatnonzero(np.diff(a[order])) + 1):
+            x = a[mine[0]]
+            counts[ids[x]] = bags[x][1]
+            for few in np.split(mine, range(256, len(mine), 256)):
+                others = b[few]
+                both = np.minimum(counts[np.concatenate([ids[y] for y in others])], np.concatenate([bags[y][1] for y in others]))
+                both = np.add.reduceat(both, np.cumsum([0, *(len(ids[y]) for y in others[:-1])]))
+                close[few] = both / (sizes[x] + sizes[others] - both) >= threshold
+            counts[ids[x]] = 0
+        return asked.select(["a", "b"]).filter(pa.array(close))
+
+    return placed.groupBy("i", "j").cogroup(members.groupBy("k", "l")).applyInArrow(tested, f"a {kind}, b {kind}")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, text_id, class_id), a row per distinct doc_id."""
     prints = stored(fingerprints(docs), "prints")
@@ -254,6 +308,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             classes = components(found)
         elif not found.isEmpty():
             classes = joined(classes, found)
+    # what pivots left apart in large buckets: every pair of different components
+    here = buckets.where(F.col("size") > SMALL_BUCKET).join(classes, "v", "left").withColumn("c", F.coalesce("c", "v"))
+    several = here.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+    here = stored(here.join(several, "key"), "mixed")
+    if not here.isEmpty():
+        pairs = stored(leftovers(here, close).join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = stored(verify_blocks(pairs, here, texts, threshold), "links")
+        if not found.isEmpty():
+            classes = joined(classes, found)
     own = prints.select("doc_id", "digest").join(nodes.select("digest", "v"), "digest").select("doc_id", F.col("v").alias("text_id"))
     done = own.join(classes.withColumnRenamed("v", "text_id"), "text_id", "left").select("doc_id", "text_id", F.coalesce("c", "text_id").alias("class_id"))
     bare = docs.where("doc_id is not null and text is null").select("doc_id", F.col("doc_id").alias("text_id"), F.col("doc_id").alias("class_id"))
