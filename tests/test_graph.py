@@ -226,3 +226,10 @@ def test_queries_and_oracles_share_names():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_queries_run_on_the_full_graph(spark):
+    from wedgeworks.plans.catalog import QUERIES
+
+    assert QUERIES["triangle_list"](spark, SF).count() == 125_968
+    assert QUERIES["edge_text_roundtrip"](spark, SF).count() == 2 * 8899

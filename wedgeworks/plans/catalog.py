@@ -1,12 +1,13 @@
 """The query catalogue.
 
 Graphs: parts bought in one order are joined by an edge. ``sparse`` uses one order in eight, which gives a
-graph with vertices of degree 1, where trimming and empty lists matter.
+graph with vertices of degree 1, where trimming and empty lists matter; only queries named *_sparse run on it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,11 +58,16 @@ sz as (select o.s, o.d, m.n m, coalesce(k.n, 0) n from o join od m on m.s = o.s
 """
 
 
-def query(name: str, sql: str | None = None, sparse: bool = False):
+def query(name: str, sql: str | None = None, both: bool = False):
+    """Registers a query on the full graph; both: and as <name>_sparse on the sparse one."""
+
     def add(f: Query) -> Query:
         QUERIES[name] = f
         if sql:
-            ORACLES[name] = prefix(sparse) + sql
+            ORACLES[name] = prefix() + sql
+        if both:
+            QUERIES[f"{name}_sparse"] = partial(f, sparse=True)
+            ORACLES[f"{name}_sparse"] = prefix(True) + sql
         return f
 
     return add
@@ -96,10 +102,10 @@ def triangle_count_by_reverse_degree(spark, sf_dir):
     "triangle_count_trimmed",
     f""", tr as (select s, d from ud where (ns > {TRIM} and ns < nd) or (ns = nd and s < d))
 select count(*) n_triangles from tr x join tr y on x.s = y.s join tr z on z.s = x.d and z.d = y.d""",
-    sparse=True,
+    both=True,
 )
-def triangle_count_trimmed(spark, sf_dir):
-    return triangles.count_array(orient.trimmed(pairs(spark, sf_dir, True), TRIM))
+def triangle_count_trimmed(spark, sf_dir, sparse=False):
+    return triangles.count_array(orient.trimmed(pairs(spark, sf_dir, sparse), TRIM))
 
 
 @query("copurchase_edges", "select src, dst from p")
@@ -174,14 +180,14 @@ def orient_by_revdegree(spark, sf_dir):
     return orient.by_reverse_degree(pairs(spark, sf_dir))
 
 
-@query("orient_trim", f"select s src, d dst from ud where (ns > {TRIM} and ns < nd) or (ns = nd and s < d)", sparse=True)
-def orient_trim(spark, sf_dir):
-    return orient.trimmed(pairs(spark, sf_dir, True), TRIM)
+@query("orient_trim", f"select s src, d dst from ud where (ns > {TRIM} and ns < nd) or (ns = nd and s < d)", both=True)
+def orient_trim(spark, sf_dir, sparse=False):
+    return orient.trimmed(pairs(spark, sf_dir, sparse), TRIM)
 
 
-@query("orient_trim_high", f"select s src, d dst from ud where (ns > {TRIM} and ns > nd) or (ns = nd and s < d)", sparse=True)
-def orient_trim_high(spark, sf_dir):
-    return orient.trimmed(pairs(spark, sf_dir, True), TRIM, "high")
+@query("orient_trim_high", f"select s src, d dst from ud where (ns > {TRIM} and ns > nd) or (ns = nd and s < d)", both=True)
+def orient_trim_high(spark, sf_dir, sparse=False):
+    return orient.trimmed(pairs(spark, sf_dir, sparse), TRIM, "high")
 
 
 @query("oriented_in_degree", "select d v, count(*) indeg from o group by 1")
@@ -189,9 +195,9 @@ def oriented_in_degree(spark, sf_dir):
     return degree.in_degree(ordered(spark, sf_dir))
 
 
-@query("triangle_list", "select a, b, c from t", sparse=True)
-def triangle_list(spark, sf_dir):
-    return triangles.list_triangles(ordered(spark, sf_dir, True))
+@query("triangle_list", "select a, b, c from t", both=True)
+def triangle_list(spark, sf_dir, sparse=False):
+    return triangles.list_triangles(ordered(spark, sf_dir, sparse))
 
 
 @query("edge_support", "select o.s src, o.d dst, count(x.a) support from o left join (select a s, b d, a from t union all select a, c, a from t union all select b, c, a from t) x using (s, d) group by 1, 2")
@@ -213,16 +219,16 @@ def vertex_triangles(spark, sf_dir):
     "clustering",
     """, vt as (select v, count(*) n from (select a v from t union all select b from t union all select c from t) group by 1)
 select g.v, g.n deg, coalesce(vt.n, 0) n_triangles, case when g.n > 1 then coalesce(vt.n, 0) / (g.n * (g.n - 1) / 2) else 0.0::double end "local" from g left join vt on vt.v = g.v""",
-    sparse=True,
+    both=True,
 )
-def clustering(spark, sf_dir):
-    p = pairs(spark, sf_dir, True)
+def clustering(spark, sf_dir, sparse=False):
+    p = pairs(spark, sf_dir, sparse)
     return triangles.clustering(p, orient.by_degree(p))
 
 
-@query("triangle_edges", "select count(*) n_edges from u where exists (select 1 from u x join u y on x.d = y.d where x.s = u.s and y.s = u.d)", sparse=True)
-def triangle_edges(spark, sf_dir):
-    return triangles.triangle_edges(ordered(spark, sf_dir, True))
+@query("triangle_edges", "select count(*) n_edges from u where exists (select 1 from u x join u y on x.d = y.d where x.s = u.s and y.s = u.d)", both=True)
+def triangle_edges(spark, sf_dir, sparse=False):
+    return triangles.triangle_edges(ordered(spark, sf_dir, sparse))
 
 
 @query("work_class_hist", f"select case when least(m, n) < {LIMITS[0]} then 'small' when least(m, n) < {LIMITS[1]} then 'mid' else 'large' end class, count(*) n_edges from sz group by 1")
@@ -360,34 +366,34 @@ def sources(u: DataFrame) -> DataFrame:
     return u.select(F.col("src").alias("s")).distinct().orderBy("s").limit(SOURCES)
 
 
-@query("bfs_levels", SEARCH_SQL + f" select s, v, level from ({LEVELS_SQL})", sparse=True)
-def bfs_levels(spark, sf_dir):
-    u = symmetric(spark, sf_dir, True)
+@query("bfs_levels", SEARCH_SQL + f" select s, v, level from ({LEVELS_SQL})", both=True)
+def bfs_levels(spark, sf_dir, sparse=False):
+    u = symmetric(spark, sf_dir, sparse)
     return traversal.levels(u, sources(u)).select("s", "v", "level")
 
 
-@query("bfs_path_counts", SEARCH_SQL + f" select s, v, sigma from ({LEVELS_SQL})", sparse=True)
-def bfs_path_counts(spark, sf_dir):
-    u = symmetric(spark, sf_dir, True)
+@query("bfs_path_counts", SEARCH_SQL + f" select s, v, sigma from ({LEVELS_SQL})", both=True)
+def bfs_path_counts(spark, sf_dir, sparse=False):
+    u = symmetric(spark, sf_dir, sparse)
     return traversal.levels(u, sources(u)).select("s", "v", "sigma")
 
 
-@query("betweenness_sample", SEARCH_SQL + BACK_SQL + f" select v, round(sum(delta), 6) bc from ({BC_SQL}) group by 1", sparse=True)
-def betweenness_sample(spark, sf_dir):
-    u = symmetric(spark, sf_dir, True)
+@query("betweenness_sample", SEARCH_SQL + BACK_SQL + f" select v, round(sum(delta), 6) bc from ({BC_SQL}) group by 1", both=True)
+def betweenness_sample(spark, sf_dir, sparse=False):
+    u = symmetric(spark, sf_dir, sparse)
     return traversal.betweenness(u, sources(u)).select("v", F.round("bc", 6).alias("bc"))
 
 
-@query("edge_text_roundtrip", "select s src, d dst from u", sparse=True)
-def edge_text_roundtrip(spark, sf_dir):
+@query("edge_text_roundtrip", "select s src, d dst from u", both=True)
+def edge_text_roundtrip(spark, sf_dir, sparse=False):
     path = scratch_path(spark, "edges-text")
-    source.write_edge_text(pairs(spark, sf_dir, True), path)
+    source.write_edge_text(pairs(spark, sf_dir, sparse), path)
     return source.read_edge_text(spark, path, symmetric=True)
 
 
-@query("cell_roundtrip", STEP_SQL + " select s src, d dst from u, st where s // step = 1 and d // step = 2", sparse=True)
-def cell_roundtrip(spark, sf_dir):
-    u = symmetric(spark, sf_dir, True)
+@query("cell_roundtrip", STEP_SQL + " select s src, d dst from u, st where s // step = 1 and d // step = 2", both=True)
+def cell_roundtrip(spark, sf_dir, sparse=False):
+    u = symmetric(spark, sf_dir, sparse)
     n = step(u, GRID)
     placed = u.withColumns({"row_part": partition.uniform_part(F.col("src"), n), "col_part": partition.uniform_part(F.col("dst"), n)})
     path = scratch_path(spark, "cells")
@@ -400,10 +406,10 @@ def cell_roundtrip(spark, sf_dir):
     """, ids as (select unnest(range(0, (select max(v) + 1 from g))) v), off as (select ids.v, coalesce(sum(n) over (order by ids.v rows between unbounded preceding and 1 preceding), 0) b from ids left join g on g.v = ids.v)
 select count(*) n_lines, cast(sum(try_cast(line as bigint)) as bigint) total from (select 'AdjacencyGraph' line union all select cast(count(*) as varchar) from ids union all select cast(count(*) as varchar) from u
   union all select cast(b as varchar) from off union all select cast(d as varchar) from u)""",
-    sparse=True,
+    both=True,
 )
-def adjacency_text(spark, sf_dir):
+def adjacency_text(spark, sf_dir, sparse=False):
     path = scratch_path(spark, "adjacency-text")
-    source.write_adjacency_text(symmetric(spark, sf_dir, True), path)
+    source.write_adjacency_text(symmetric(spark, sf_dir, sparse), path)
     lines = spark.read.text(path)
     return lines.agg(F.count("*").alias("n_lines"), F.sum(F.col("value").try_cast("bigint")).alias("total"))
