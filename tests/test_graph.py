@@ -233,3 +233,35 @@ def test_queries_run_on_the_full_graph(spark):
 
     assert QUERIES["triangle_list"](spark, SF).count() == 125_968
     assert QUERIES["edge_text_roundtrip"](spark, SF).count() == 2 * 8899
+
+
+def test_betweenness_adds_up_all_sources(spark):
+    from collections import Counter, deque
+
+    from wedgeworks.plans.catalog import QUERIES
+
+    near = {}
+    for r in build.undirected(source.copurchase_pairs(spark, SF)).collect():
+        near.setdefault(r.src, []).append(r.dst)
+        near.setdefault(r.dst, []).append(r.src)
+    want = Counter()
+    for s in sorted(near)[:512]:
+        level, sigma, order, queue = {s: 0}, Counter({s: 1}), [], deque([s])
+        while queue:
+            v = queue.popleft()
+            order.append(v)
+            for w in near[v]:
+                if w not in level:
+                    level[w] = level[v] + 1
+                    queue.append(w)
+                if level[w] == level[v] + 1:
+                    sigma[w] += sigma[v]
+        delta = Counter()
+        for w in reversed(order):
+            for v in near[w]:
+                if level[v] == level[w] - 1:
+                    delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
+            if w != s:
+                want[w] += delta[w]
+    got = {r.v: r.bc for r in QUERIES["betweenness_sample"](spark, SF).collect()}
+    assert got.keys() == near.keys() and all(abs(got[v] - want[v]) < 1e-4 for v in near)

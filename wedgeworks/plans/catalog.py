@@ -23,6 +23,8 @@ ORACLES: dict[str, str] = {}
 #: Parameters that the queries and their twins share.
 TRIM, LIMITS, SWITCH, GRID, COLUMNS, ROWS, CHUNK, SOURCES = 8, (16, 64), 16, 4, 3, 4, 1000, 4
 DEPTH = 8
+#: Sources of the full graph's betweenness, as many as the reference adds up.
+BC_SOURCES = 512
 
 
 def raw(spark, sf_dir, sparse=False):
@@ -58,13 +60,13 @@ sz as (select o.s, o.d, m.n m, coalesce(k.n, 0) n from o join od m on m.s = o.s
 """
 
 
-def query(name: str, sql: str | None = None, both: bool = False):
-    """Registers a query on the full graph; both: and as <name>_sparse on the sparse one."""
+def query(name: str, sql: str | None = None, both: bool = False, sparse: bool = False):
+    """Registers a query; sparse: its twin reads the sparse graph; both: it is also <name>_sparse on that graph."""
 
     def add(f: Query) -> Query:
         QUERIES[name] = f
         if sql:
-            ORACLES[name] = prefix() + sql
+            ORACLES[name] = prefix(sparse) + sql
         if both:
             QUERIES[f"{name}_sparse"] = partial(f, sparse=True)
             ORACLES[f"{name}_sparse"] = prefix(True) + sql
@@ -362,8 +364,8 @@ BACK_SQL = f", b{DEPTH} as (select s, v, sigma, 0.0::double delta from l{DEPTH})
 BC_SQL = " union all ".join(f"select v, delta from b{i} where s <> v" for i in range(DEPTH + 1))
 
 
-def sources(u: DataFrame) -> DataFrame:
-    return u.select(F.col("src").alias("s")).distinct().orderBy("s").limit(SOURCES)
+def sources(u: DataFrame, n: int = SOURCES) -> DataFrame:
+    return u.select(F.col("src").alias("s")).distinct().orderBy("s").limit(n)
 
 
 @query("bfs_levels", SEARCH_SQL + f" select s, v, level from ({LEVELS_SQL})", both=True)
@@ -378,9 +380,15 @@ def bfs_path_counts(spark, sf_dir, sparse=False):
     return traversal.levels(u, sources(u)).select("s", "v", "sigma")
 
 
-@query("betweenness_sample", SEARCH_SQL + BACK_SQL + f" select v, round(sum(delta), 6) bc from ({BC_SQL}) group by 1", both=True)
-def betweenness_sample(spark, sf_dir, sparse=False):
-    u = symmetric(spark, sf_dir, sparse)
+@query("betweenness_sample")
+def betweenness_sample(spark, sf_dir):
+    u = symmetric(spark, sf_dir)
+    return traversal.betweenness(u, sources(u, BC_SOURCES)).select("v", F.round("bc", 6).alias("bc"))
+
+
+@query("betweenness_sample_sparse", SEARCH_SQL + BACK_SQL + f" select v, round(sum(delta), 6) bc from ({BC_SQL}) group by 1", sparse=True)
+def betweenness_sample_sparse(spark, sf_dir):
+    u = symmetric(spark, sf_dir, True)
     return traversal.betweenness(u, sources(u)).select("v", F.round("bc", 6).alias("bc"))
 
 
