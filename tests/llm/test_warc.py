@@ -57,3 +57,19 @@ def test_damage_is_found(spark, tmp_path):
 
 def test_empty(spark, tmp_path):
     assert warc.verified(spark, archive(spark, tmp_path, [])).count() == 0
+
+
+def test_query_verifies_rebuilt_records(spark, tmp_path, monkeypatch):
+    from wedgeworks.llm import warc
+
+    path = f"file://{tmp_path}/rebuilt"
+    warc.write_archive(spark.createDataFrame([(1, "u", "x" * 200), (2, "v", "x" * 200)], "page_id long, url string, html string"), path)
+    assert warc.verified(spark, path).count() == 2
+    real = warc.restore_payloads
+    monkeypatch.setattr(warc, "restore_payloads", lambda *a: real(*a).selectExpr("digest", "n", "kind", "header", "substr(payload, 2) as payload"))
+    try:
+        warc.verified(spark, path).collect()
+    except Exception as e:
+        assert "damaged record" in str(e)
+    else:
+        raise AssertionError("rebuilt payloads were not looked at")

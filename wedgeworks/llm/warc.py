@@ -82,8 +82,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def restore_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """Every record with its full payload, revisits through the record they refer to."""
-    return spark.read.parquet(f"{path}/headers").join(spark.read.parquet(f"{path}/payloads").select("digest", "n", "payload"), ["digest", "n"])
+    """Every record with its full payload, revisits through the record they refer to; null if its bytes are lost."""
+    return spark.read.parquet(f"{path}/headers").join(spark.read.parquet(f"{path}/payloads").select("digest", "n", "payload"), ["digest", "n"], "left")
 
 
 def _field(header, name: str):
@@ -93,18 +93,15 @@ def _field(header, name: str):
 def verified(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
     """Parses every record of an archive; fails on bytes, lengths or digests that don't agree.
 
-    Payload bytes are hashed where they lie; only their digests and lengths are joined to the headers.
+    Records are put together first: what is hashed and measured is each record's own rebuilt payload.
     """
-    held = spark.read.parquet(f"{path}/payloads").select(
-        "digest", "n", F.sha2("payload", 256).alias("hashed"), F.length("payload").cast("long").alias("held")
-    )
     text = F.col("header").cast("string")
-    rows = spark.read.parquet(f"{path}/headers").join(held, ["digest", "n"], "left").select(
+    rows = restore_payloads(spark, path).select(
         _field(text, "X-Record-Key").alias("key"), _field(text, "WARC-Type").alias("record_type"),
         F.regexp_replace(_field(text, "WARC-Payload-Digest"), "^sha256:", "").alias("payload_digest"),
         _field(text, "X-Payload-Length").cast("long").alias("payload_bytes"), _field(text, "X-Refers-To-Key").alias("refers"),
         F.regexp_extract(text, r"(?m)^Content-Length: ?(\d+)", 1).cast("long").alias("block"),
-        (F.length(text) - F.instr(text, CRLF * 2) - 3).cast("long").alias("http"), "hashed", "held",
+        (F.length(text) - F.instr(text, CRLF * 2) - 3).cast("long").alias("http"), F.sha2("payload", 256).alias("hashed"), F.length("payload").cast("long").alias("held"),
     )
     whole = F.col("payload_digest").eqNullSafe(F.col("hashed")) & F.col("payload_bytes").eqNullSafe(F.col("held")) & (
         F.col("block") == F.when(F.col("record_type") == "revisit", F.lit(0)).otherwise(F.col("http") + F.col("held"))
