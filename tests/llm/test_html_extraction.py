@@ -2,7 +2,8 @@ import itertools
 import random
 import time
 
-from wedgeworks.llm.html_extraction import extract, main_text, minimum_cut
+from wedgeworks.llm.html_extraction import EDGES, extract, fitted, labelled, main_text, minimum_cut
+from wedgeworks.llm.html_training import labelled_pages
 
 P = "This is a fairly long paragraph of article text, with a comma and an end."
 PAGE = f"""<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p><article>";</script></head><body>
@@ -36,6 +37,49 @@ def test_inline_boilerplate_and_heads():
     assert main_text(f"<main><p>{P}</p><table><tr><td>one cell of text<td>another cell of text</table></main>") == f"{P} one cell of text another cell of text"
 
 
+def test_quotes_inside_unquoted_values():
+    assert main_text(f"<article><p title=it's>Hello, don't stop. {P}</p><p>Second paragraph isn't lost.</p></article>") == f"Hello, don't stop. {P} Second paragraph isn't lost."
+    assert main_text(f"<article><p title=it's>{P}</p></article>") == P
+    assert main_text(f'<article><p title="open>{P}</p><p>{P}</p></article>') == f"{P} {P}"
+    assert main_text(f"<article><p data-x='a>b' y = \"c>d\" z=1/2>{P}</p></article>") == P
+
+
+def test_words_that_mislead_and_wrappers():
+    assert main_text(f"<div id='content' class='post related-width'><p>{P}</p><p>{P}</p></div>") == f"{P} {P}"
+    assert main_text(f"<div class='article-comments-enabled'><p>{P}</p></div>") == P
+    assert main_text(f"<form id=aspnetForm><nav><a href=a>Home</a></nav><div><h1>Head</h1><p>{P}</p><p>{P}</p></div><div class=footer>Imprint</div></form>") == f"Head {P} {P}"
+    assert main_text(f"<article><p>{P}</p><p>{P}</p></article><section id=comments>{f'<article class=comment><p>{P}</p></article>' * 6}</section>") == f"{P} {P}"
+
+
+def test_cut_decides():
+    """The text is that of the labelling of blocks and elements with the least cost of all, and it isn't that of the blocks alone."""
+    model = fitted()
+    assert len(model.capacities) == len(EDGES) and min(model.capacities) > 0
+    tried = moved = 0
+    for page, _ in labelled_pages(120, seed=5):
+        blocks, kept, alone = labelled(page, model)
+        odds, edges = model.costs(blocks)
+        if not 0 < len(odds) <= 14:
+            continue
+        cost = lambda x: sum(max(o, 0) if not b else max(-o, 0) for o, b in zip(odds, x)) + sum(w for (i, j), w in edges.items() if x[i] != x[j])  # noqa: E731, B023, B905
+        best = min(itertools.product([False, True], repeat=len(odds)), key=cost)
+        assert main_text(page) == " ".join(b.text for b, x in zip(blocks, best) if x)  # noqa: B905
+        tried += 1
+        moved += kept != alone
+    assert tried >= 15 and moved >= 5
+
+
+def test_held_out_pages():
+    right = alone_right = n = 0
+    for page, content in labelled_pages(150, seed=77):
+        blocks, kept, alone = labelled(page, fitted())
+        truth = [b.text in content for b in blocks]
+        n += len(truth)
+        right += sum(map(bool.__eq__, kept, truth))
+        alone_right += sum(map(bool.__eq__, alone, truth))
+    assert right / n > 0.95 and right > alone_right + 0.04 * n
+
+
 def test_long_pages_take_linear_time():
     began = time.time()
     assert main_text("<article>" + f"<p>{P}</p>" * 20_000 + "</article>").count("paragraph") == 20_000
