@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from wedgeworks.llm.mixing import allocation, allotted, mix, source_key, word_count
+from wedgeworks.llm.mixing import allocation, allotted, measured, mix, scored, word_count
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -53,17 +53,54 @@ def test_targets_words_and_limits(spark):
 
 def test_many_intervals_agree_with_one(spark):
     frame = spark.createDataFrame(data(), "doc_id long, source string, text string")
-    sized = frame.select("doc_id", source_key(F.col("source")).alias("skey"), word_count(F.col("text")).alias("size"))
+    sized = measured(frame).select("doc_id", "skey", "size", "steps", "bits")
     by = lambda n: sorted(map(tuple, allotted(sized, allocation(sized, interval_docs=n)).collect()))
     assert by(5) == by(10**6)
 
 
+def test_inclusion_is_unequal_and_as_asked(spark):
+    rng = random.Random(8)
+    docs = [(i, "s" if i % 2 else "t", "w " * rng.choice([3, 30, 300])) for i in range(6000)]
+    frame = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    sized = measured(frame).select("doc_id", "skey", "size", "steps", "bits").cache()
+    plan = allocation(sized, weights=(1, 1), budget=0.5)
+    expected = {r[0]: (r[1], r[2]) for r in scored(sized, plan).groupBy("size").agg(F.avg("_expected"), F.avg(F.col("_p") * F.col("size"))).collect()}
+    assert expected[3][0] > expected[30][0] > expected[300][0] > 0
+    words = scored(sized, plan).agg(F.sum(F.col("_expected") * F.col("size")), F.max("_expected")).first()
+    assert abs(words[0] - 0.5 * sized.agg(F.sum("size")).first()[0]) < 1e-3 and words[1] <= 2
+    got = {r[0]: r[1] for r in allotted(sized, plan).groupBy("size").agg(F.avg("copies")).collect()}
+    assert all(abs(got[n] - expected[n][0]) < 0.05 for n in got)
+    even = {r[0]: r[1] for r in mix(frame, weights=(1, 1), budget=0.5, damping=0.0).groupBy("size").agg(F.avg("copies")).collect()}
+    assert max(even.values()) - min(even.values()) < 0.08
+
+
 def test_weight_column_raises_inclusion(spark):
     docs = [(i, "s" if i % 2 else "t", "w " * 10) for i in range(2000)]
-    frame = spark.createDataFrame(docs, "doc_id long, source string, text string").withColumn("liked", F.when(F.col("doc_id") % 4 < 2, 3.0).otherwise(1.0))
-    got = mix(frame, weights=(1, 1), budget=0.5, weight="liked").groupBy("liked").agg(F.avg("copies")).collect()
+    frame = spark.createDataFrame(docs, "doc_id long, source string, text string").withColumn("rank", F.when(F.col("doc_id") % 4 < 2, 1).otherwise(3))
+    got = mix(frame, weights=(1, 1), budget=0.5, weight="rank", damping=1.0).groupBy("rank").agg(F.avg("copies")).collect()
     share = {r[0]: r[1] for r in got}
-    assert share[3.0] > 2 * share[1.0]
+    assert share[1] > 0.85 and share[3] < 0.15
+
+
+def test_order_is_sought_in_one_interval_only(spark):
+    """Sources whose target is a whole multiple draw nothing; others put about an interval in order."""
+    docs = [(i, "abc"[i % 3], "w " * (5 + i % 7)) for i in range(6000)]
+    sized = measured(spark.createDataFrame(docs, "doc_id long, source string, text string")).select("doc_id", "skey", "size", "steps", "bits").cache()
+    plan = allocation(sized, weights=(1, 1, 1), budget=2.0, interval_docs=100)
+    assert plan.where("_cut is not null").count() == 0 and allotted(sized, plan).where("copies <> 2").count() == 0
+    plan = allocation(sized, interval_docs=100)
+    ordered = scored(sized, plan.where("_cut is not null")).where("_cell = _cut._cell and _p > 0").groupBy("skey").count().collect()
+    assert ordered and all(r["count"] < 400 for r in ordered)
+
+
+def test_null_and_repeated_ids(spark):
+    rng = random.Random(4)
+    docs = [(rng.choice([None, 1, 2, 7]), rng.choice(["a", "b", None]), " ".join(f"w{rng.randrange(99)}" for _ in range(rng.randint(0, 60)))) for _ in range(800)]
+    frame = spark.createDataFrame([*docs, *docs[:40]], "doc_id long, source string, text string")
+    first, again = ([tuple(r) for r in mix(f).collect()] for f in (frame, frame.orderBy("text").repartition(5)))
+    assert sorted(map(str, first)) == sorted(map(str, again)) and len(first) == 840
+    half = [r for r in first if r[0] is None]
+    assert len({r[6] for r in half if r[3]}) > 1  # rows without an id are drawn apart
 
 
 def test_word_count_and_empty(spark):
