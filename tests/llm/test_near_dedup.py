@@ -1,4 +1,5 @@
 import random
+from hashlib import sha256
 
 import numpy as np
 
@@ -34,35 +35,75 @@ def data(seed=1):
 
 
 def brute(rows):
-    texts = {i: t for i, t in rows if i is not None and t is not None}
-    bags = {i: N.shingles(t.encode()) for i, t in texts.items()}
-    up = {i: i for i, _ in rows if i is not None}
+    """(doc_id, text_id, class_id) of every row, sorted; and the rows that stay."""
+    last = lambda i: (i is None, i or 0)
+    texts = sorted({t for _, t in rows if t is not None})
+    bags = [N.shingles(t.encode()) for t in texts]
+    up = list(range(len(texts)))
 
     def root(x):
         while up[x] != x:
             x = up[x]
         return x
 
-    ids = sorted(texts)
-    for k, a in enumerate(ids):
-        for b in ids[:k]:
-            if root(a) != root(b) and (texts[a] == texts[b] or N.overlap(bags[a], bags[b]) >= 0.8):
-                a_, b_ = root(a), root(b)
-                up[max(a_, b_)] = min(a_, b_)
-    return {i: root(i) for i in up}
+    for a in range(len(texts)):
+        for b in range(a):
+            if root(a) != root(b) and N.overlap(bags[a], bags[b]) >= 0.8:
+                up[root(a)] = root(b)
+    first, lowest, kept = {}, {}, {}
+    for i, t in rows:
+        if t is not None:
+            first[t] = min(first.get(t, i), i, key=last)
+    for k, t in enumerate(texts):
+        c = root(k)
+        lowest[c] = min(lowest.get(c, first[t]), first[t], key=last)
+        kept[c] = min(kept.get(c, (last(None), "~")), (last(first[t]), sha256(t.encode()).digest().hex()))
+    at = {t: root(k) for k, t in enumerate(texts)}
+    out = [(i, i, i) if t is None else (i, first[t], lowest[at[t]]) for i, t in rows]
+    stay = {(i, t) for i, t in rows if t is not None and kept[at[t]] == (last(i), sha256(t.encode()).digest().hex())}
+    return sorted(out, key=str), sorted([*stay, *((i, t) for i, t in rows if t is None)], key=str)
+
+
+def classes_of(docs):
+    return sorted(map(tuple, N.near_duplicates(docs).collect()), key=str)
 
 
 def test_classes_equal_brute_force(spark):
     rows = data()
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as class_id", "2 as v", "3 as n", "'d' as digest")
-    got = N.near_duplicates(docs)
-    assert got.columns == ["doc_id", "text_id", "class_id"]
-    want = brute(rows)
-    found = {r.doc_id: r.class_id for r in got.collect()}
-    assert found == want and got.count() == len(want)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as class_id", "2 as v", "3 as n", "'d' as digest", "4 as tag", "5 as kept")
+    assert N.near_duplicates(docs).columns == ["doc_id", "text_id", "class_id"]
+    want, stay = brute(rows)
+    assert classes_of(docs) == want
     kept = N.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted([(False, i) for i in set(want.values())] + [(True, 0)])
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == stay
+
+
+def test_rows_without_ids_or_with_equal_ones(spark):
+    rng = random.Random(9)
+    bases = [sentence(rng, 80) for _ in range(12)]
+    rows = [(rng.choice([None, None, 1, 2, 3, 50]), " ".join(edited(rng, rng.choice(bases), rng.choice([0, 0, 1, 2])))) for _ in range(150)]
+    rows += [*rows[:20], (None, None), (1, None), (None, ""), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "text as text_id")
+    want, stay = brute(rows)
+    assert classes_of(docs) == want
+    assert sorted(((r.doc_id, r.text) for r in N.keep_one(docs).collect()), key=str) == stay
+
+
+def test_group_of_drifting_edits(spark):
+    """A group like the check's: most edits too far from each other and from any pivot, others just near enough."""
+    rng = random.Random(6)
+    base = sentence(rng, 150)
+    rows = [" ".join(edited(rng, base, rng.choice([2, 4, 6, 8, 10, 12, 15, 20]))) for _ in range(420)]
+    chain = sentence(rng, 150)
+    for _ in range(120):  # each like the one before
+        chain = edited(rng, chain, 2)
+        rows.append(" ".join(chain))
+    rows.append(" ".join(sentence(rng, 40_000)))  # a long text and a copy with edits
+    rows.append(" ".join(edited(rng, rows[-1].split(), 300)))
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    assert classes_of(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)[0]
 
 
 def test_large_bucket_is_finished(spark, monkeypatch):
@@ -72,23 +113,31 @@ def test_large_bucket_is_finished(spark, monkeypatch):
         base = sentence(rng, 120)
         rows += [" ".join(base), " ".join(edited(rng, base, rng.choice([1, 2, 3])))]
     rows += [" ".join(["same", "words"] * 55), " ".join(["same", "words"] * 60)]
+    rows += [" ".join(edited(rng, rows[0].split(), 1)) for _ in range(40)]
     rng.shuffle(rows)
     rows = list(enumerate(rows))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     real = N.fingerprints
-    monkeypatch.setattr(N, "fingerprints", lambda docs: real(docs).selectExpr("doc_id", "digest", "n", "array(1L) as bands", "sketch"))
-    monkeypatch.setattr(N, "PART_TEXTS", 50, raising=False)
-    monkeypatch.setattr(N, "BLOCK_SHINGLES", 3000, raising=False)
-    want = brute(rows)
-    assert len(set(want.values())) < 140
-    assert {r.doc_id: r.class_id for r in N.near_duplicates(docs).collect()} == want
+    monkeypatch.setattr(N, "fingerprints", lambda docs: real(docs).selectExpr("doc_id", "tag", "digest", "n", "array(1L) as bands", "sketch"))
+    want = brute(rows)[0]
+    assert len({r[2] for r in want}) < 140
+    for texts, size in ((512, 250_000), (30, 250_000), (512, 3000)):
+        monkeypatch.setattr(N, "BLOCK_TEXTS", texts)
+        monkeypatch.setattr(N, "BLOCK_SHINGLES", size)
+        assert classes_of(docs) == want
+
+
+def test_hot_pivot_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(N, "PIVOT_PAIRS", 7)
+    rows = data(seed=12)
+    assert classes_of(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)[0]
 
 
 def test_small_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert N.near_duplicates(none).count() == 0 and N.keep_one(none).count() == 0
     one = spark.createDataFrame([(1, "only one text of some words"), (2, None)], "doc_id long, text string")
-    assert sorted(map(tuple, N.near_duplicates(one).collect())) == [(1, 1, 1), (2, 2, 2)]
+    assert sorted(map(tuple, N.near_duplicates(one).collect())) == [(1, 1, 1), (2, 2, 2)] and N.keep_one(one).count() == 2
 
 
 def test_signatures_estimate_weighted_similarity():

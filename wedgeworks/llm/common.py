@@ -62,6 +62,12 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20)
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def bounded_broadcast(df: DataFrame, size: int = 32 << 20) -> DataFrame:
+    """Marks a table of numbers and strings for broadcast if its values take no more than size bytes; else leaves the join to Spark."""
+    wide = sum((F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c, t in df.dtypes if t == "string"), F.lit(16 * len(df.columns)))
+    return F.broadcast(df) if (df.agg(F.sum(wide.cast("long"))).first()[0] or 0) <= size else df
+
+
 def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """Marks a table of narrow rows for broadcast if a count finds no more than so many; else leaves the join to Spark."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -11,19 +11,23 @@ every component has a point earlier than the process's next one.
 Texts that are equal are one node. Nodes that share a band are candidates. A bucket is never expanded into
 all its pairs. Its nodes are compared with a pivot, the node whose buckets hold most nodes together: in a
 group of edited copies that is the original, or what comes closest to it, in every band. Links join
-components. Buckets that still hold several go on with more pivots, the best one of each of SLOTS hashed
-parts, and again with others from outside the first pivot's component; buckets of up to SMALL_BUCKET nodes
-are then finished: all their pairs of different components are compared. Larger buckets that still hold
-several components are finished last, in blocks: every pair of different components that no pivot met. A
-candidate has to pass bounds on sizes and on a two-bit sketch of the signatures (five standard deviations wide
-at the threshold) and is verified by the multiset overlap of the whole texts. The pivots' steps are linear in
-the buckets' rows; the last one is quadratic in what they leave apart. A link can be missed only if its texts
-share no band (chance below 2e-7 at similarity 0.8) or fail the sketch's bound.
-
-Returned is a row per document: doc_id, text_id (the smallest doc_id with an equal text) and class_id (the
-smallest doc_id of its component). Defined results: a null text is alone in its class, whatever its doc_id's
-other rows; texts without words are copies of equal texts only; texts of fewer than five words are one
-shingle; rows that share a doc_id are one document, and rows with a null doc_id are left out.
+components. Buckets that still hold several go on with the best pivot of each of SLOTS hashed parts. What is
+left of buckets of up to SMALL_BUCKET nodes is then compared pair by pair. Larger buckets that still hold
+several components are finished exactly: those that share nodes form a group, a group is cut into blocks of at
+most about BLOCK_TEXTS texts and BLOCK_SHINGLES shingles, texts of one component together, and a task takes two
+blocks and compares all their texts of different components. Pairs are made inside tasks only; a text travels
+once for each block of its group, and blocks of one component don't meet.
+
+A candidate of the pivots and of small buckets has to pass bounds on sizes and on a two-bit sketch of the
+signatures (five standard deviations wide at the threshold) and is verified by the multiset overlap of the
+whole texts. So a link can be missed only if its texts share no band (chance below 2e-7 at similarity 0.8), or,
+in a bucket of up to SMALL_BUCKET nodes, fail the sketch's bound (below 3e-7). The pivots' steps are linear in the
+buckets' rows; finishing is quadratic in what they leave apart.
+
+Returned is a row for each row: doc_id, text_id (the smallest doc_id with an equal text) and class_id (the
+smallest doc_id of its component). Defined results: a null text is alone, with its own doc_id in all three;
+texts without words are copies of equal texts only; texts of fewer than five words are one shingle; rows with
+equal or null doc_ids are classed by their texts alone, and a null doc_id counts as the largest.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored, table
+from .common import bounded_batches, bounded_broadcast, stored, table
 from .components import components, joined
 from .decontamination import shingle_codes, words_of
 
@@ -45,10 +49,11 @@ SHINGLE = 5
 THRESHOLD = 0.8
 SLOTS = 3
 SMALL_BUCKET = 64
-#: Texts of a bucket's part, and shingles of a block of texts, when large buckets are finished.
-PART_TEXTS, BLOCK_SHINGLES = 1_000, 250_000
+#: Texts, and shingles, of a block when large buckets are finished.
+BLOCK_TEXTS, BLOCK_SHINGLES = 512, 250_000
+#: Pairs of one pivot that are verified together.
+PIVOT_PAIRS = 1_000
 PLANE = 4
-BROADCAST_IDS = 1_000_000
 _U = np.uint64
 #: Word hashes that a Python worker keeps; the table is emptied beyond that.
 KNOWN_WORDS = 200_000
@@ -168,16 +173,16 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def fingerprints(docs: DataFrame, chunk: int = 400_000) -> DataFrame:
-    """(doc_id, digest, n, bands, sketch) of every row with a doc_id and a text; n: shingles, 0 without words."""
+    """(doc_id, tag, digest, n, bands, sketch) of every row with a text; n: shingles, 0 without words; tag: tells texts with one doc_id apart."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("body")).where("doc_id is not null and text is not null")
+    rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("tag"), F.col("text").cast("binary").alias("body"))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = max(1, batch.num_rows * chunk // max(1, batch.nbytes))
             for at in range(0, batch.num_rows, size):
                 part = batch.slice(at, size)
-                texts = part.column(1).to_pylist()
+                texts = part.column(2).to_pylist()
                 digests = [sha256(t).digest() for t in texts]
                 first = {d: i for i, d in reversed(list(enumerate(digests)))}  # copies are done once
                 bags = {d: shingles(texts[i]) for d, i in first.items()}
@@ -185,19 +190,24 @@ def fingerprints(docs: DataFrame, chunk: int = 400_000) -> DataFrame:
                 signed = signatures([bags[d] for d in full]) if full else np.zeros((0, ROWS * BANDS), _U)
                 keys = dict(zip(full, zip(band_keys(signed).tolist(), sketches(signed).tolist(), strict=True), strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(digests, pa.binary()), pa.array([int(bags[d][1].sum()) for d in digests], pa.int64()),
+                    [*part.columns[:2], pa.array(digests, pa.binary()), pa.array([int(bags[d][1].sum()) for d in digests], pa.int64()),
                      *(pa.array([keys.get(d, ([], []))[i] for d in digests], pa.list_(pa.int64())) for i in (0, 1))],
-                    names=["doc_id", "digest", "n", "bands", "sketch"],
+                    names=["doc_id", "tag", "digest", "n", "bands", "sketch"],
                 )
 
-    return rows.mapInArrow(made, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest binary, n bigint, bands array<bigint>, sketch array<bigint>")
+    return rows.mapInArrow(made, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tag bigint, digest binary, n bigint, bands array<bigint>, sketch array<bigint>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Those of pairs (a, b) whose texts (v, body) are similar enough."""
+    """Those of pairs (v, w) whose texts (v, body) are similar enough, as (a, b).
+
+    A pivot w with many pairs has its text repeated for each part of them, so no task reads all its pairs.
+    """
     bounded_batches(pairs.sparkSession, rows=256)
-    full = pairs.join(texts.select(F.col("v").alias("a"), F.col("body").alias("left")), "a").join(texts.select(F.col("v").alias("b"), F.col("body").alias("right")), "b")
-    kind = pairs.schema["a"].dataType.simpleString()
+    parts = pairs.groupBy("w").agg(F.ceil(F.count("*") / F.lit(PIVOT_PAIRS)).cast("int").alias("parts"))
+    held = parts.join(texts.select(F.col("v").alias("w"), F.col("body").alias("right")), "w").select("w", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "right")
+    asked = pairs.join(parts, "w").select("v", "w", F.pmod(F.xxhash64("v"), "parts").cast("int").alias("part"))
+    full = asked.join(texts.select("v", F.col("body").alias("left")), "v").join(held.drop("parts"), ["w", "part"])
 
     def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[bytes, tuple] = (b"", shingles(b""))
@@ -211,70 +221,102 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
             keep = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
 
-    return full.select("a", "b", "left", "right").mapInArrow(tested, f"a {kind}, b {kind}")
+    return full.select("v", "w", "left", "right").mapInArrow(tested, "a bigint, b bigint")
+
+
+class Together:
+    """Disjoint sets of labels."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        top = x
+        while (above := self.up.get(top, top)) != top:
+            top = above
+        while x != top:
+            self.up[x], x = top, self.up.get(x, x)
+        return top
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether they were apart."""
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def compared(held: pa.Table, threshold: float) -> list[tuple[int, int]]:
+    """Links that join different components among all pairs between the sides, or within the one side, of held (side, v, c, body)."""
+    bags = [shingles(x.as_py()) for x in held.column("body")]
+    sizes = np.array([int(n.sum()) for _, n in bags], np.int64)
+    side, v, c = (held.column(x).to_pylist() for x in ("side", "v", "c"))
+    _, ids = np.unique(np.concatenate([x for x, _ in bags]), return_inverse=True)
+    ids = np.split(ids, np.cumsum([len(x) for x, _ in bags])[:-1])
+    order = np.argsort(sizes, kind="stable")
+    right = [i for i in order.tolist() if side[i] == 1] or order.tolist()
+    alone = 1 not in side
+    left = right if alone else [i for i in order.tolist() if side[i] == 0]
+    flat, weights = np.concatenate([ids[i] for i in right]), np.concatenate([bags[i][1] for i in right])
+    starts = np.cumsum([0, *(len(ids[i]) for i in right)])
+    counts = np.zeros(int(flat.max()) + 1 + max(int(ids[i].max()) for i in left), np.int64)
+    sets, out = Together(), []
+    ordered = sizes[right]
+    for k, x in enumerate(left):
+        # of those in order of size only the ones within the threshold; pairs of one side once
+        low = k + 1 if alone else int(np.searchsorted(ordered, sizes[x] * threshold - 1e-9))
+        high = int(np.searchsorted(ordered, sizes[x] / threshold + 1e-9, "right"))
+        counts[ids[x]] = bags[x][1]
+        for at in range(low, high, 256):
+            to = min(high, at + 256)
+            both = np.add.reduceat(np.minimum(counts[flat[starts[at] : starts[to]]], weights[starts[at] : starts[to]]), starts[at:to] - starts[at])
+            for j in np.flatnonzero(both / (sizes[x] + ordered[at:to] - both) >= threshold).tolist():
+                if sets.join(c[x], c[right[at + j]]):
+                    out.append((v[x], v[right[at + j]]))
+        counts[ids[x]] = 0
+    return out
 
 
-def leftovers(here: DataFrame, close) -> DataFrame:
-    """(a, b), a > b: pairs of different components in buckets here (key, size, v, n, c, sketch) that pass the bounds.
+def finish(here: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links between components in buckets here (key, v, n, c): every pair of different components of a group is compared."""
+    stars = here.join(here.groupBy("key").agg(F.min("v").alias("b")), "key").select(F.col("v").alias("a"), "b").distinct()
+    groups = components(stars).withColumnRenamed("c", "g")
+    members = stored(here.select("v", "n", "c").distinct().join(groups, "v"), "members")
+    many = lambda: F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_TEXTS)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int")
+    large = members.groupBy("g", "c").agg(many().alias("slots"), F.count("*").alias("size")).where(F.col("size") * 2 >= BLOCK_TEXTS).drop("size")
+    homed = members.join(large, ["g", "c"], "left")
+    rest = homed.where("slots is null").groupBy("g").agg(many().alias("rest"))
+    slot = F.when(F.col("slots").isNotNull(), F.pmod(F.xxhash64("v"), "slots")).otherwise(F.pmod(F.xxhash64("c"), "rest"))
+    home = F.when(F.col("slots").isNotNull(), F.col("c"))
+    placed = homed.join(rest, "g", "left").select("g", home.alias("home"), F.concat_ws(":", F.coalesce(home.cast("string"), F.lit("-")), slot.cast("string")).alias("block"), "v", "c")
+    placed = stored(placed, "placed")
+    blocks = placed.select("g", "home", "block").distinct()
+    other = blocks.select("g", F.col("home").alias("k"), F.col("block").alias("j"))
+    cells = blocks.withColumnRenamed("block", "i").join(other, "g").where((F.col("i") <= F.col("j")) & F.coalesce(F.col("home") != F.col("k"), F.lit(True)))
+    sides = F.when(F.col("i") == F.col("j"), F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("block")))).otherwise(
+        F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("block")), F.struct(F.lit(1).alias("side"), F.col("j").alias("block")))
+    )
+    asked = cells.select("g", "i", "j", F.inline(sides)).join(placed.drop("home"), ["g", "block"]).drop("block")
+    full = asked.join(texts, "v")
 
-    Buckets are cut into parts, and each text meets one part a row, so no task holds a large bucket's pairs alone.
-    """
-    parts = F.ceil(F.col("size") / F.lit(PART_TEXTS)).cast("int")
-    left = here.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "v", "n", "c", "sketch")
-    right = here.select("key", F.pmod(F.xxhash64("v"), parts).cast("int").alias("part"), F.col("v").alias("w"), F.col("n").alias("m"), F.col("c").alias("k"), F.col("sketch").alias("other"))
-    met = left.join(right, ["key", "part"]).where((F.col("v") > F.col("w")) & (F.col("c") != F.col("k")) & close("n", "sketch", "m", "other"))
-    return met.select(F.col("v").alias("a"), F.col("w").alias("b")).distinct()
+    def tested(held: pa.Table) -> pa.Table:
+        found = compared(held, threshold)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
+    return full.select("g", "i", "j", "side", "v", "c", "body").groupBy("g", "i", "j").applyInArrow(tested, "a bigint, b bigint")
 
-def verify_blocks(pairs: DataFrame, here: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """As verify, for many pairs of few texts: a text goes once to each cell of two blocks that has pairs of it.
 
-    A block is a part of the texts that have the same largest bucket.
-    """
-    home = here.groupBy("v").agg(F.max(F.struct("size", "key"))["key"].alias("home"), F.max("n").alias("n"))
-    parts = home.groupBy("home").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).alias("parts"))
-    blocks = stored(home.join(parts, "home").select("v", F.xxhash64("home", F.pmod(F.xxhash64("v"), "parts")).alias("block")), "blocks")
-    at = lambda x: blocks.select(F.col("v").alias(x), F.col("block").alias("at_" + x))
-    placed = pairs.join(at("a"), "a").join(at("b"), "b").select(F.least("at_a", "at_b").alias("i"), F.greatest("at_a", "at_b").alias("j"), "a", "b")
-    placed = stored(placed, "placed")
-    cell = [F.col("i").alias("k"), F.col("j").alias("l")]
-    members = placed.select(*cell, F.col("a").alias("v")).unionByName(placed.select(*cell, F.col("b").alias("v"))).distinct().join(texts.select("v", "body"), "v")
-    kind = pairs.schema["a"].dataType.simpleString()
-
-    def tested(asked: pa.Table, held: pa.Table) -> pa.Table:
-        at = {v: i for i, v in enumerate(held.column("v").to_pylist())}
-        bags = [shingles(x.as_py()) for x in held.column("body")]
-        sizes = np.array([int(n.sum()) for _, n in bags], np.int64)
-        _, ids = np.unique(np.concatenate([c for c, _ in bags] or [np.zeros(0, _U)]), return_inverse=True)
-        ids = np.split(ids, np.cumsum([len(c) for c, _ in bags])[:-1])
-        a, b = (np.array([at[v] for v in asked.column(x).to_pylist()], np.int64) for x in "ab")
-        order = np.argsort(a, kind="stable")
-        counts = np.zeros(1 + max((int(i.max()) for i in ids if len(i)), default=0), np.int64)
-        close = np.zeros(len(a), bool)
-        for mine in np.split(order, np.flatnonzero(np.diff(a[order])) + 1):
-            x = a[mine[0]]
-            counts[ids[x]] = bags[x][1]
-            for few in np.split(mine, range(256, len(mine), 256)):
-                others = b[few]
-                both = np.minimum(counts[np.concatenate([ids[y] for y in others])], np.concatenate([bags[y][1] for y in others]))
-                both = np.add.reduceat(both, np.cumsum([0, *(len(ids[y]) for y in others[:-1])]))
-                close[few] = both / (sizes[x] + sizes[others] - both) >= threshold
-            counts[ids[x]] = 0
-        return asked.select(["a", "b"]).filter(pa.array(close))
-
-    return placed.groupBy("i", "j").cogroup(members.groupBy("k", "l")).applyInArrow(tested, f"a {kind}, b {kind}")
-
-
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, text_id, class_id), a row per distinct doc_id."""
+def classified(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, tag, text_id, class_id, kept), a row for each row with a text; kept: whether its id and text stand for its class."""
     prints = stored(fingerprints(docs), "prints")
-    nodes = stored(prints.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "bands", "sketch")).alias("x")).select("digest", F.col("x.doc_id").alias("v"), "x.n", "x.bands", "x.sketch"), "nodes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "n", "bands", "sketch")).alias("x")
+    nodes = prints.groupBy("digest").agg(first).select(F.monotonically_increasing_id().alias("v"), "digest", F.col("x.doc_id").alias("text_id"), "x.tag", "x.n", "x.bands", "x.sketch")
+    nodes = stored(nodes, "nodes")
     keyed = nodes.where("n > 0").select("v", "n", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     buckets = stored(keyed.join(shared, "key"), "buckets")
     hubs = buckets.groupBy("v").agg(F.sum("size").alias("hub"))
     buckets = stored(buckets.join(hubs.join(nodes.select("v", "sketch"), "v"), "v"), "hubs")
-    texts = stored(texts_of(docs, hubs.select("v")), "texts")
+    texts = stored(texts_of(docs, nodes.join(hubs, "v").select("v", "text_id", "tag")), "texts")
     classes = tested = None
 
     def close(n: str, sketch: str, m: str, other: str) -> Column:
@@ -283,65 +325,72 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     for r in range(3):
         if r == 0:
-            here = buckets.withColumns({"c": F.col("v"), "top": F.lit(None).cast(nodes.schema["v"].dataType)})
+            here = buckets.withColumn("c", F.col("v"))
         else:
             here = buckets.join(classes, "v", "left").withColumn("c", F.coalesce("c", "v"))
-            top = here.groupBy("key").agg(F.max(F.struct("hub", "v", "c"))["c"].alias("top"), F.min("c").alias("low"), F.max("c").alias("high"))
-            here = stored(here.join(top.where("low <> high").select("key", "top"), "key"), "mixed")
-        # one pivot of each bucket at first; then one of each slot, the second time from outside the first one's component
-        slot = F.lit(0) if r == 0 else F.pmod(F.xxhash64("v", F.lit(r)), F.lit(SLOTS))
-        rank = F.struct((F.col("hub") if r < 2 else F.xxhash64("v")).alias("h"), "v", "n", "c", "sketch")
-        pivots = (here.where("c <> top") if r == 2 else here).groupBy("key", slot.alias("slot")).agg(F.max(rank).alias("p"))
-        met = here.join(pivots, "key").where((F.col("c") != F.col("p.c")) & close("n", "sketch", "p.n", "p.sketch")).select("v", F.col("p.v").alias("w"))
-        if r == 2:  # what is left of small buckets, whole
+            several = here.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+            here = stored(here.join(several, "key"), "mixed")
+        if r < 2:  # one pivot of each bucket; then one of each slot
+            slot = F.lit(0) if r == 0 else F.pmod(F.xxhash64("v", F.lit(r)), F.lit(SLOTS))
+            pivots = here.groupBy("key", slot.alias("slot")).agg(F.max(F.struct("hub", "v", "n", "c", "sketch")).alias("p"))
+            met = here.join(pivots, "key").where((F.col("c") != F.col("p.c")) & close("n", "sketch", "p.n", "p.sketch")).select("v", F.col("p.v").alias("w"))
+        else:  # what is left of small buckets, whole
             few = here.where(F.col("size") <= SMALL_BUCKET).select("key", "v", "n", "c", "sketch")
             other = few.select("key", F.col("v").alias("w"), F.col("n").alias("m"), F.col("c").alias("k"), F.col("sketch").alias("other"))
-            rest = few.join(other, "key").where((F.col("v") < F.col("w")) & (F.col("c") != F.col("k")) & close("n", "sketch", "m", "other")).select("v", "w")
-            met = met.unionByName(rest)
-        pairs = met.select(F.greatest("v", "w").alias("a"), F.least("v", "w").alias("b")).distinct()
+            met = few.join(other, "key").where((F.col("v") < F.col("w")) & (F.col("c") != F.col("k")) & close("n", "sketch", "m", "other")).select("v", "w")
+        pairs = met.distinct()
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = pairs.join(tested, ["v", "w"], "left_anti")
         pairs = stored(pairs, "pairs")
         found = stored(verify(pairs, texts, threshold), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        both = pairs.unionByName(pairs.select(F.col("w").alias("v"), F.col("v").alias("w")))
+        tested = both if tested is None else tested.unionByName(both)
         if r == 0:
             classes = components(found)
         elif not found.isEmpty():
             classes = joined(classes, found)
-    # what pivots left apart in large buckets: every pair of different components
-    here = buckets.where(F.col("size") > SMALL_BUCKET).join(classes, "v", "left").withColumn("c", F.coalesce("c", "v"))
+    here = buckets.where(F.col("size") > SMALL_BUCKET).select("key", "v", "n").join(classes, "v", "left").withColumn("c", F.coalesce("c", "v"))
     several = here.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
     here = stored(here.join(several, "key"), "mixed")
     if not here.isEmpty():
-        pairs = stored(leftovers(here, close).join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = stored(verify_blocks(pairs, here, texts, threshold), "links")
+        found = stored(finish(here, texts, threshold), "links")
         if not found.isEmpty():
             classes = joined(classes, found)
-    own = prints.select("doc_id", "digest").join(nodes.select("digest", "v"), "digest").select("doc_id", F.col("v").alias("text_id"))
-    done = own.join(classes.withColumnRenamed("v", "text_id"), "text_id", "left").select("doc_id", "text_id", F.coalesce("c", "text_id").alias("class_id"))
-    bare = docs.where("doc_id is not null and text is null").select("doc_id", F.col("doc_id").alias("text_id"), F.col("doc_id").alias("class_id"))
-    return done.unionByName(bare).groupBy("doc_id").agg(F.min("text_id").alias("text_id"), F.min("class_id").alias("class_id"))
+    placed = nodes.select("v", "digest", "text_id", "tag").join(classes, "v", "left").withColumn("c", F.coalesce("c", "v"))
+    stands = F.min(F.struct(F.col("text_id").isNull().alias("none"), F.col("text_id").alias("doc_id"), "digest", "tag")).alias("stands")
+    named = stored(placed.join(placed.groupBy("c").agg(stands), "c"), "classes")
+    own = prints.select("doc_id", "tag", "digest").join(named.select("digest", "text_id", "stands"), "digest")
+    kept = (F.col("digest") == F.col("stands.digest")) & F.col("doc_id").eqNullSafe(F.col("stands.doc_id"))
+    return own.select("doc_id", "tag", "text_id", F.col("stands.doc_id").alias("class_id"), kept.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, text_id, class_id), a row for each row."""
+    bare = docs.where("text is null").select("doc_id", F.col("doc_id").alias("text_id"), F.col("doc_id").alias("class_id"))
+    return classified(docs, threshold).select("doc_id", "text_id", "class_id").unionByName(bare)
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(v, body) of the wanted ids; their table is broadcast if it is small, and shuffled beyond that."""
-    rows = docs.where("text is not null").select(F.col("doc_id").alias("v"), F.col("text").cast("binary").alias("body"))
-    wanted = stored(wanted, "wanted")
-    small = wanted.count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(wanted) if small else wanted, "v", "left_semi")
+    """(v, body) of the wanted (v, text_id, tag); their table is broadcast up to a measured size, and shuffled beyond that."""
+    rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("tag"), F.col("text").cast("binary").alias("body"))
+    wanted = bounded_broadcast(stored(wanted, "wanted").withColumnsRenamed({"text_id": "_id", "tag": "_tag"}))
+    found = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag"))).select("v", "body")
+    repeated = docs.where("text is not null").groupBy("doc_id").count().where("count > 1 or doc_id is null")
+    return found if repeated.isEmpty() else found.groupBy("v").agg(F.min("body").alias("body"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The document with the smallest id of each class, once; rows without an id stay."""
-    classes = stored(near_duplicates(docs, threshold), "classes")
-    extra = stored(classes.where("doc_id <> class_id").select("doc_id"), "extra")
-    small = extra.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(extra) if small else extra, "doc_id", "left_anti")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(kept.where("doc_id is null")).select(*docs.columns)
+    """One row of each class, the one with the smallest doc_id (of rows that share id and text, the smallest in its columns); rows without a text stay."""
+    classes = stored(classified(docs, threshold), "classes")
+    if classes.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():  # ids tell rows apart
+        extra = bounded_broadcast(stored(classes.where("not kept").select("doc_id"), "extra"))
+        return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
+    kept = classes.where("kept").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct()
+    rows = docs.where("text is not null").withColumn("_row", F.struct(*docs.columns)).join(
+        kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tag")), "left_semi"
+    )
+    one = rows.groupBy("doc_id", F.xxhash64("text").alias("_tag")).agg(F.min("_row").alias("_row")).select("_row.*")
+    return one.unionByName(docs.where("text is null")).select(*docs.columns)
 
 
 def op1_near_dedup(spark, sf_dir):
@@ -359,6 +408,6 @@ l as (select x, y from p join n nx on nx.v = x join n ny on ny.v = y where o / (
 e as (select x, y from l union all select y, x from l),
 r as (select x, y from e union select r.x, e.y from r join e on e.x = r.y),
 k as (select t.text, t.v, least(t.v, coalesce(min(r.y), t.v)) as c from t left join r on r.x = t.v group by 1, 2),
-f as (select d.doc_id, k.v, k.c from d join k using (text) union all select doc_id, doc_id, doc_id from documents where doc_id is not null and text is null)
-select doc_id, min(v) as text_id, min(c) as class_id from f group by 1
+f as (select d.doc_id, k.v, k.c from d join k using (text) union all select doc_id, doc_id, doc_id from documents where text is null)
+select doc_id, v as text_id, c as class_id from f
 """
