@@ -139,9 +139,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                 found = body.as_py() or b""
                 sizes.append(len(found))
                 frequency = Counter(found.split())
-                far = frequency.keys() - tokens.keys()
-                sums.append(sum(n * tokens[w] for w, n in frequency.items() if w not in far) if far else sum(n * tokens[w] for w, n in frequency.items()))
-                rest.append([(w, frequency[w]) for w in far])
+                sums.append(sum(n * tokens.get(w, 0) for w, n in frequency.items()))
+                rest.append([x for x in frequency.items() if x[0] not in tokens])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(rest, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))],
                 names=["row", "id", "n_bytes", "n_tokens", "rest"],
