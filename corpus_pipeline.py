@@ -18,8 +18,8 @@ from wedgeworks.llm.quality_rules import keep_good
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule of the cascade rejects."""
-    return keep_good(docs)
+    """Documents that no rule of the cascade rejects; short ones are as good as long ones, only wordless ones go."""
+    return keep_good(docs, min_words=1)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
