@@ -60,11 +60,16 @@ def test_every_algorithm_agrees_with_brute_force(spark, seed):
     pairs = build.undirected(frame(spark, raw)).cache()
     for o in (orient.by_degree(pairs), orient.by_id(pairs), orient.by_reverse_degree(pairs), orient.trimmed(pairs, 0)):
         assert o.count() == pairs.count()
-        assert triangles.count_array(o).first()[0] == triangles.count_join(o).first()[0] == len(want)
-    assert triangles.count_unreduced(build.clean(frame(spark, raw))).first()[0] == len(want)
+        assert {f(o).first()[0] for f in (triangles.count_array, triangles.count_join, triangles.count_split)} == {len(want)}
+        assert triangles.count_split(o, 3).first()[0] == triangles.count_hybrid(o, 2).first()[0] == len(want)
+    u = build.clean(frame(spark, raw))
+    assert triangles.count_unreduced(u).first()[0] == triangles.count_unreduced(u, 4).first()[0] == len(want)
     o = orient.by_degree(pairs)
+    assert rows(triangles.list_triangles(o)) == rows(triangles.list_by_wedges(o))
     assert sorted(tuple(sorted(t)) for t in triangles.list_triangles(o).collect()) == want
-    assert triangles.edge_support(o).agg(F.sum("support")).first()[0] == 3 * len(want)
+    side = lambda a, b: sum({a, b} <= set(t) for t in want)
+    assert rows(triangles.edge_support(o)) == sorted((a, b, side(a, b)) for a, b in rows(o))
+    assert triangles.triangle_edges(o).first()[0] == 2 * sum(side(a, b) > 0 for a, b in rows(o))
     assert triangles.source_credit(o).agg(F.sum("credit")).first()[0] == len(want)
     per = dict(rows(triangles.vertex_triangles(o)))
     assert per == {v: n for v in near if (n := sum(v in t for t in want))}
@@ -84,27 +89,41 @@ def test_parts_add_up(spark, rows_, columns):
     total = F.sum("n_triangles")
     assert cells.agg(total).first()[0] == partition.pair_counts(cells).agg(total).first()[0] == want
     assert partition.column_counts(o, lambda v: partition.part_of(v, cc)).agg(total).first()[0] == want
+    matrix = partition.part_chunk_counts(o, lambda v: partition.part_of(v, cc), 7)
+    assert matrix.agg(total).first()[0] == want
+    counted = {tuple(r)[:3]: r[3] for r in cells.collect()}
+    t = partition.subproblem(F.col("i"), F.col("j"), F.col("k"), rows_)
+    for r in cells.select("i", "j", "k", *partition.subproblem_cell(t, rows_)).collect():
+        assert tuple(r)[:3] == tuple(r)[3:]
+    placed = o.select("*", partition.part_of(F.col("src"), rc).alias("row_part"), partition.part_of(F.col("dst"), rc).alias("dst_part"), partition.part_of(F.col("dst"), cc).alias("col_part"))
+    for cell in [(0, 0, 0), (rows_ - 1, 0, columns - 1)]:
+        assert partition.one_cell(placed, *cell).first()[0] == counted.get(cell, 0)
     chunks = partition.chunk_counts(o, 7)
     assert chunks.agg(total).first()[0] == want and chunks.agg(F.max("n_edges")).first()[0] == 7
 
 
+def test_pair_subproblems_are_numbered_row_by_row(spark):
+    n, k = 5, 3
+    t = F.col("id")
+    got = [tuple(r) for r in spark.range(n * (n + 1) // 2 * k).select(t, *partition.pair_subproblem_cell(t, n)).orderBy("id").collect()]
+    want = [(lo, hi, c) for c in range(k) for hi in range(n) for lo in range(hi + 1)]
+    assert [r[1:] for r in got] == want
+    back = spark.createDataFrame(want, "lo long, hi long, k long").select(partition.pair_subproblem(F.col("lo"), F.col("hi"), F.col("k"), n))
+    assert sorted(r[0] for r in back.collect()) == list(range(len(want)))
+    far = spark.range(1).select(*partition.pair_subproblem_cell(F.lit(10**9 * (10**9 + 1) // 2 - 1), 2 * 10**9)).first()
+    assert tuple(far) == (10**9 - 1, 10**9 - 1, 0)
+
+
 def test_greedy_cuts_fit_and_are_longest(spark):
     o = orient.by_degree(build.undirected(frame(spark, random_graph(4)))).cache()
     size = 20
     cuts = partition.greedy_row_cuts(o, F.col("dst") % 2, size)
-    edges, want, last = rows(o), [], -1
-    vertices = sorted({a for a, _ in edges})
-    while last < vertices[-1]:
-        best = None
-        for v in (v for v in vertices if v > last):
-            weight = [sum(d % 2 == k for s, d in edges if last < s <= v) + 2 * len({s for s, d in edges if last < s <= v and d % 2 == k}) for k in (0, 1)]
-            if max(weight) > size and best is not None:
-                break
-            best = v
-            if max(weight) > size:
-                break
-        last = best
-        want.append(last)
+    edges, want, low = rows(o), [], 0
+    top = max(max(e) for e in edges)
+    while low <= top:  # the weight counts every id of the range, with edges or without
+        weight = lambda r: max(sum(d % 2 == k and low <= s <= r for s, d in edges) + 2 * (r - low + 1) for k in (0, 1))  # noqa: E731, B023
+        want.append(max([low, *(r for r in range(low, top + 1) if weight(r) <= size)]))
+        low = want[-1] + 1
     assert cuts == want
     assert partition.greedy_row_cuts(o.limit(0), F.col("dst") % 2, size) == []
 
@@ -175,11 +194,22 @@ def test_text_and_binary(spark, tmp_path):
     (tmp_path / "m.txt").write_text("%%header\n9 9 2\n1 2 1.0\n2 3 1.0\n")
     assert rows(source.read_edge_text(spark, str(tmp_path / "m.txt"), skip_rows=1)) == [(1, 2), (2, 3)]
     edges = build.clean(frame(spark, [(0, 1), (1, 3), (3, 3)]))
-    source.export_csr(edges, str(tmp_path / "csr"))
-    assert np.fromfile(tmp_path / "csr" / "begin.bin", "<i8").tolist() == [0, 1, 3, 3, 4]
-    assert rows(source.read_csr(str(tmp_path / "csr"), spark)) == rows(edges)
-    source.export_tuples(edges, str(tmp_path / "t.bin"))
-    assert rows(source.read_tuple_bin(spark, str(tmp_path / "t.bin"))) == rows(edges)
+    for part_edges in (1 << 23, 2, 1):
+        folder = tmp_path / f"csr{part_edges}"
+        parts = source.write_csr(edges, str(folder), part_edges).orderBy("part").collect()
+        whole = lambda name, kind: np.concatenate([np.fromfile(f, kind) for f in sorted(folder.glob(f"{name}-*.bin"))]).tolist()  # noqa: E731, B023
+        assert whole("begin", "<i8") == [0, 1, 3, 3, 4] and whole("adjacent", "<i4") == [1, 0, 3, 1] and whole("head", "<i4") == [0, 1, 1, 3] and whole("degree", "<i4") == [1, 2, 0, 1]
+        assert parts[0].lo == 0 and parts[-1].hi == 3 and all(a.hi + 1 == b.lo for a, b in itertools.pairwise(parts))
+        assert rows(source.read_csr(str(folder), spark)) == rows(source.read_csr(str(folder), spark, head=True)) == rows(edges)
+    (folder / "adjacent-00009.bin").write_bytes(bytes(4))
+    with pytest.raises(ValueError, match="offsets end at 4"):
+        source.read_csr(str(folder), spark)
+    assert source.write_csr(edges.limit(0), str(tmp_path / "none")).count() == 0 and source.read_csr(str(tmp_path / "none"), spark).count() == 0
+    star = frame(spark, [(7, i) for i in range(8, 400)])
+    source.write_csr(star, str(tmp_path / "star"), vertex=8)
+    assert rows(source.read_csr(str(tmp_path / "star"), spark, vertex=8, block=50)) == rows(star)
+    assert source.write_tuples(edges.repartition(3), str(tmp_path / "t")) == 4
+    assert rows(source.read_tuple_bin(spark, str(tmp_path / "t" / "part-*.bin"))) == rows(edges)
     source.write_adjacency_text(edges, str(tmp_path / "adj"))
     assert [r.value for r in spark.read.text(str(tmp_path / "adj")).collect()] == "AdjacencyGraph 4 4 0 1 3 3 1 0 3 1".split()
 
@@ -190,7 +220,7 @@ def test_command_line(spark, tmp_path, capsys):
     import argparse
 
     def go(mode, a, b=None, **more):
-        base = {"undirected": False, "shift": False, "skip_rows": 0, "order": "degree", "parts": 2}
+        base = {"undirected": False, "shift": False, "skip_rows": 0, "order": "degree", "parts": 2, "directed": False, "part_edges": 2}
         return cli.run(spark, argparse.Namespace(mode=mode, input=a, output=b, **base | more))
 
     go("text", p("g.txt"), p("e"))
@@ -200,6 +230,13 @@ def test_command_line(spark, tmp_path, capsys):
     assert go("count", p("c")).first()[0] == 1
     assert spark.read.parquet(p("o")).count() == 3 and spark.read.parquet(p("cells")).count() == 6
     assert go("degrees", p("c")).count() == 3 and go("show", p("c")).count() == 3
+    go("tuples", p("e"), p("t"))
+    go("tuples2csr", p("t"), p("u"))
+    go("csr", p("u"), p("back"))
+    assert rows(spark.read.parquet(p("back"))) == rows(spark.read.parquet(p("c")))
+    go("tuples2csr", p("t"), p("d"), directed=True)
+    assert rows(source.read_csr(p("d"), spark)) == [(0, 1), (1, 2), (2, 0)]
+    assert rows(source.read_csr(p("d"), spark, names=("in-begin*.bin", "in-adjacent*.bin", "in-head*.bin"))) == [(0, 2), (1, 0), (2, 1)]
 
 
 SF = "/root/testdata/sf0.001"

@@ -36,19 +36,24 @@ def graph_stats(edges: DataFrame) -> DataFrame:
 
 
 def running_total(rows: DataFrame, key: str, value: str, by: tuple[str, ...] = (), blocks: int = 256) -> DataFrame:
-    """Adds total: the sum of value up to and with each row, in order of a unique integer key, for each by.
+    """Adds total: the sum of value up to and with each row, in order of an integer key that is unique for each by.
 
-    Two levels: sums of key ranges are added up first (at most ``blocks`` rows for each by), then rows within
-    a range. No window spans all rows.
+    Two levels: keys are cut into blocks of about equally many rows at approximate quantiles, so clustered
+    ids are spread as well; sums of blocks are added up first (at most ``blocks`` rows for each by), then
+    rows within a block. No window spans all rows.
     """
-    span = rows.agg(F.struct(F.min(key).alias("low"), (F.floor((F.max(key) - F.min(key)) / F.lit(blocks)) + 1).alias("step"))).scalar()
-    placed = rows.withColumn("_span", span).withColumn("_block", F.floor((F.col(key) - F.col("_span.low")) / F.col("_span.step")))
+    cuts = rows.agg(F.array_sort(F.array_distinct(F.percentile_approx(key, [i / blocks for i in range(1, blocks)], 20 * blocks)))).scalar()
+    # a row's block is the number of cuts below its key, coarse cuts first
+    step = 16
+    coarse = step * F.size(F.filter(F.filter("_cuts", lambda c, i: i % step == step - 1), lambda c: c < F.col(key)))
+    block = coarse + F.size(F.filter(F.slice("_cuts", coarse + 1, F.lit(step)), lambda c: c < F.col(key)))
+    placed = rows.withColumn("_cuts", F.coalesce(cuts, F.array().cast("array<bigint>"))).withColumn("_block", block).drop("_cuts")
     sums = placed.groupBy(*by, "_block").agg(F.sum(value).alias("_sum"))
     before = W.partitionBy(*by).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     starts = sums.select(*by, "_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
     inside = W.partitionBy(*by, "_block").orderBy(key).rowsBetween(W.unboundedPreceding, 0)
     total = F.col("_before") + F.sum(value).over(inside)
-    return placed.join(starts, [*by, "_block"]).withColumn("total", total).drop("_span", "_block", "_before")
+    return placed.join(starts, [*by, "_block"]).withColumn("total", total).drop("_block", "_before")
 
 
 def csr_offsets(edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:

@@ -38,10 +38,10 @@ def by_reverse_degree(pairs: DataFrame) -> DataFrame:
 def trimmed(pairs: DataFrame, k: int = 16, side: str = "low") -> DataFrame:
     """P8, approximate: of the degree order, only edges whose low (or high) end has degree over k, and ties.
 
-    Counts on it fall short of the true number; side "high" and "reverse" are the two sibling forms.
+    Counts on it fall short of the true number; side "high" is the older sibling, and k = 2 the other one.
     """
     both = with_degrees(pairs)
     both = both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("dd").alias("ds"), F.col("ds").alias("dd")))
     tie = (F.col("ds") == F.col("dd")) & (F.col("src") < F.col("dst"))
-    order = {"low": F.col("ds") < F.col("dd"), "high": F.col("ds") > F.col("dd"), "reverse": F.col("ds") < F.col("dd")}[side]
+    order = {"low": F.col("ds") < F.col("dd"), "high": F.col("ds") > F.col("dd")}[side]
     return both.where(((F.col("ds") > k) & order) | tie).select("src", "dst")

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import common
 from .degree import in_degree, running_total
 
 
@@ -26,9 +27,16 @@ def column_cuts(o: DataFrame, parts: int) -> DataFrame:
     return cut_points(in_degree(o).withColumnRenamed("indeg", "w"), parts)
 
 
+def id_weights(o: DataFrame) -> DataFrame:
+    """(v, w) of every id from 0 to the largest: edges + 2, as a part's offsets span all ids of its range, with edges or without."""
+    top = o.agg(F.max(F.greatest("src", "dst"))).first()[0]
+    ids = o.sparkSession.range(0 if top is None else top + 1).withColumnRenamed("id", "v")
+    return ids.join(o.groupBy(F.col("src").alias("v")).count(), "v", "left").select("v", (F.coalesce("count", F.lit(0)) + 2).alias("w"))
+
+
 def row_cuts(o: DataFrame, parts: int) -> DataFrame:
-    """R1, R3 by share: rows with about equal weight, edges + 2 * vertices."""
-    return cut_points(o.groupBy(F.col("src").alias("v")).agg((F.count("*") + 2).alias("w")), parts)
+    """R1, R3 by share: rows with about equal weight, edges + 2 * vertices of the id range."""
+    return cut_points(id_weights(o), parts)
 
 
 def part_of(v: Column, cuts: list[int]) -> Column:
@@ -42,29 +50,29 @@ def bounds(cuts: DataFrame) -> list[int]:
 
 
 def greedy_row_cuts(o: DataFrame, columns: Column, size: int) -> list[int]:
-    """Rows taken as long as in every column edges + 2 * vertices stay within size; each row part's last vertex.
+    """Rows taken as long as in every column edges + 2 * ids of the range stay within size; each row part's last id.
 
-    Each cut is one aggregation over running weights by column; only cuts come to the driver.
+    columns: a number for each edge's column part. Each cut is one aggregation over running edge counts by
+    column: in a column the weight grows with every id, so the last id that fits lies between two rows with
+    edges, or right before the first that doesn't fit. Only a row a column comes to the driver for each cut.
     """
     from ..sources.scratch import kept
 
-    cells = o.groupBy(F.col("src").alias("v"), columns.alias("k")).agg((F.count("*") + 2).alias("w"))
+    cells = o.groupBy(F.col("src").alias("v"), columns.alias("k")).agg(F.count("*").alias("w"))
     run = kept(running_total(cells, "v", "w", ("k",)).withColumnRenamed("total", "cum"), "row-weights")
+    ids = o.agg(F.max(F.greatest("src", "dst"))).first()[0]
     out: list[int] = []
-    last = None
-    while True:
-        left = run if last is None else run.where(F.col("v") > last)
-        past = run.where(F.col("v") <= last).groupBy("k").agg(F.max("cum").alias("base")) if last is not None else None
-        rest = left.join(F.broadcast(past), "k", "left") if past is not None else left.withColumn("base", F.lit(0).cast("long"))
-        over = rest.where(F.col("cum") - F.coalesce("base", F.lit(0)) > size).agg(F.min("v")).first()[0]
-        first, end = left.agg(F.min("v"), F.max("v")).first()
-        if first is None:
-            return out
-        if over is None:
-            return [*out, end]
-        # a vertex that alone exceeds the size still makes a part
-        last = first if over == first else left.where(F.col("v") < over).agg(F.max("v")).first()[0]
-        out.append(last)
+    low = 0
+    while ids is not None and low <= ids:
+        past = run.where(F.col("v") < low).groupBy("k").agg(F.max("cum").alias("base"))
+        rest = run.where(F.col("v") >= low).join(past, "k", "left").withColumn("n", F.col("cum") - F.coalesce("base", F.lit(0)))
+        fits = F.col("n") + 2 * (F.col("v") - low + 1) <= size
+        found = rest.groupBy("k").agg(F.max(F.when(fits, F.col("n"))).alias("held"), F.min(F.when(~fits, F.col("v"))).alias("over")).collect()
+        ends = [min(r.over - 1 if r.over is not None else ids, low - 1 + (size - (r.held or 0)) // 2) for r in found]
+        last = min([ids, low - 1 + size // 2, *ends])
+        out.append(max(last, low))  # an id that alone exceeds the size still makes a part
+        low = out[-1] + 1
+    return out
 
 
 def per_column_row_cuts(o: DataFrame, columns: Column, parts: int) -> DataFrame:
@@ -90,20 +98,74 @@ def parts_for_budget(edges: int, cell_size: int) -> int:
     return 1 + int(math.sqrt(max(0, edges - 1) / cell_size / 2))
 
 
+def part_count(edges: Column, cell_size: int) -> Column:
+    """parts_for_budget of a column of edge numbers."""
+    return (F.floor(F.sqrt(F.floor(F.floor((edges - 1) / F.lit(cell_size)) / 2))) + 1).cast("long")
+
+
 def cell_sizes(edges: DataFrame, row: Column, column: Column) -> DataFrame:
     """(i, j, n_edges) (K7, K8)."""
     return edges.groupBy(row.alias("i"), column.alias("j")).agg(F.count("*").alias("n_edges"))
 
 
+def lists_by_column(o: DataFrame, column) -> DataFrame:
+    """(src, dst, k, na, nb): edges with both ends' neighbours in each column part, where both have some."""
+    part = o.withColumn("k", column(F.col("dst"))).groupBy("src", "k").agg(F.collect_list("dst").alias("nbrs"))
+    mine = o.select("src", "dst").join(part.withColumnRenamed("nbrs", "na"), "src")
+    return mine.join(part.select(F.col("src").alias("dst"), "k", F.col("nbrs").alias("nb")), ["dst", "k"])
+
+
 def cell_counts(o: DataFrame, row, column) -> DataFrame:
-    """(i, j, k, n_triangles): triangles by row parts of both edge ends and column part of the third.
+    """(i, j, k, n_triangles): triangles by row parts of both edge ends and column part of the third.
 
-    row, column: functions from a vertex column to its part.
+    row, column: functions from a vertex column to its part. Edge cell (i, j) meets list cells (i, k) and
+    (j, k) by vertex and column, so lists of other columns don't meet and no triangle is listed.
     """
-    from .triangles import list_triangles
+    t = lists_by_column(o, column).select(row(F.col("src")).alias("i"), row(F.col("dst")).alias("j"), "k", common("na", "nb").alias("n"))
+    return t.where("n > 0").groupBy("i", "j", "k").agg(F.sum("n").alias("n_triangles"))
+
+
+def one_cell(edge_cells: DataFrame, i: int, j: int, k: int) -> DataFrame:
+    """One row, n_triangles of subproblem (i, j, k): edge cells (src, dst, row_part, dst_part, col_part) as written by keys.
+
+    Reads the edges of cell (i, j) and the lists of (i, k) and (j, k) alone, if the cells are folders.
+    """
+    lists = lambda r: edge_cells.where((F.col("row_part") == r) & (F.col("col_part") == k)).groupBy("src").agg(F.collect_list("dst").alias("nbrs"))
+    edges = edge_cells.where((F.col("row_part") == i) & (F.col("dst_part") == j)).select("src", "dst")
+    both = edges.join(lists(i).withColumnRenamed("nbrs", "na"), "src").join(lists(j).select(F.col("src").alias("dst"), F.col("nbrs").alias("nb")), "dst")
+    return both.agg(F.coalesce(F.sum(common("na", "nb")), F.lit(0)).cast("long").alias("n_triangles"))
+
+
+def subproblem(i: Column, j: Column, k: Column, rows: int) -> Column:
+    """Number of subproblem (i, j, k): rows varies fastest."""
+    return (i + rows * (j + rows * k)).cast("long")
 
-    t = list_triangles(o)
-    return t.groupBy(row(F.col("a")).alias("i"), row(F.col("b")).alias("j"), column(F.col("c")).alias("k")).agg(F.count("*").alias("n_triangles"))
+
+def _div(x: Column, by: int) -> Column:
+    return F.call_function("div", x, F.lit(by))
+
+
+def subproblem_cell(t: Column, rows: int) -> tuple[Column, Column, Column]:
+    """(i, j, k) of a subproblem's number."""
+    return t % rows, _div(t, rows) % rows, _div(t, rows * rows)
+
+
+def _triangular(x: Column) -> Column:
+    return F.shiftright(x * (x + 1), 1)
+
+
+def pair_subproblem(lo: Column, hi: Column, k: Column, rows: int) -> Column:
+    """Number of the subproblem of cells (lo, hi) and (hi, lo) together: row by row of a triangle, column after column."""
+    return (k * (rows * (rows + 1) // 2) + _triangular(hi.cast("long")) + lo).cast("long")
+
+
+def pair_subproblem_cell(t: Column, rows: int) -> tuple[Column, Column, Column]:
+    """(lo, hi, k) of a pair subproblem's number."""
+    size = rows * (rows + 1) // 2
+    p = (t % size).cast("long")
+    near = F.floor((F.sqrt(8 * p + 1) - 1) / 2).cast("long")  # then set right, should the root be rounded
+    hi = near + F.when(_triangular(near + 1) <= p, 1).when(_triangular(near) > p, -1).otherwise(0)
+    return p - _triangular(hi), hi, _div(t, size)
 
 
 def pair_counts(cells: DataFrame) -> DataFrame:
@@ -113,11 +175,13 @@ def pair_counts(cells: DataFrame) -> DataFrame:
 
 def column_counts(o: DataFrame, column) -> DataFrame:
     """(k, n_triangles): J22, by part of the common neighbour; lists are split by column, so none is long."""
-    part = o.withColumn("k", column(F.col("dst"))).groupBy("src", "k").agg(F.collect_list("dst").alias("nbrs"))
-    mine = o.join(part.withColumnRenamed("nbrs", "na"), "src")
-    theirs = part.select(F.col("src").alias("dst"), "k", F.col("nbrs").alias("nb"))
-    both = mine.join(theirs, ["dst", "k"])
-    return both.groupBy("k").agg(F.sum(F.size(F.array_intersect("na", "nb"))).cast("long").alias("n_triangles"))
+    return lists_by_column(o, column).groupBy("k").agg(F.sum(common("na", "nb")).cast("long").alias("n_triangles"))
+
+
+def part_chunk_counts(o: DataFrame, column, size: int) -> DataFrame:
+    """(k, chunk, n_triangles): the matrix of partial counts by column part and chunk of the edge list."""
+    counted = lists_by_column(o, column).select("src", "dst", "k", common("na", "nb").alias("n")).where("n > 0")
+    return counted.join(chunk_of(o, size), ["src", "dst"]).groupBy("k", "chunk").agg(F.sum("n").alias("n_triangles"))
 
 
 def cell_check(edges: DataFrame, row: Column, column: Column, cells: DataFrame) -> DataFrame:

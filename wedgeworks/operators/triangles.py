@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import common, search_steps
 
+#: Elements of the longest neighbour list that a row may hold where the order sets no bound.
+LONGEST = 100_000
+
 
 def adjacency(o: DataFrame) -> DataFrame:
     """(src, nbrs): sorted neighbour arrays."""
@@ -33,8 +36,19 @@ def count_array(o: DataFrame) -> DataFrame:
     return edge_lists(o).agg(F.coalesce(F.sum(common("na", "nb")), F.lit(0)).cast("long").alias("n_triangles"))
 
 
+def closed_edges(o: DataFrame) -> DataFrame:
+    """(src, dst, thirds): edges on a triangle that their ends' lists close, with the third corners."""
+    lists = edge_lists(o).where(F.arrays_overlap("na", "nb"))
+    return lists.select("src", "dst", F.array_intersect("na", "nb").alias("thirds"))
+
+
 def list_triangles(o: DataFrame) -> DataFrame:
-    """(a, b, c) with a -> b, a -> c, b -> c: wedges at a, closed by the edge from b.
+    """(a, b, c) with a -> b, a -> c, b -> c, from the intersections: no wedge that isn't closed leaves its task."""
+    return closed_edges(o).select(F.col("src").alias("a"), F.col("dst").alias("b"), F.explode("thirds").alias("c"))
+
+
+def list_by_wedges(o: DataFrame) -> DataFrame:
+    """list_triangles as a join: wedges at a, closed by the edge from b.
 
     Wedges come from arrays: each neighbour with those after it in vertex order; the closing edge may run
     either way, so it is looked up by its unordered pair.
@@ -43,26 +57,54 @@ def list_triangles(o: DataFrame) -> DataFrame:
         "a", "x", F.explode(F.slice("nbrs", F.col("i") + 2, F.size("nbrs"))).alias("y")
     )
     closing = o.select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y"), F.col("src").alias("b"), F.col("dst").alias("c"))
-    return wedges.join(closing.hint("shuffle_hash"), ["x", "y"]).select("a", "b", "c")
+    return wedges.join(closing, ["x", "y"]).select("a", "b", "c")
 
 
 def count_join(o: DataFrame) -> DataFrame:
-    """The count as a join, for graphs whose neighbour arrays are too long for a row."""
-    return list_triangles(o).agg(F.count("*").alias("n_triangles"))
+    """The count as a join that Spark may sort, hash or spill, where intersections would not fit."""
+    return list_by_wedges(o).agg(F.count("*").alias("n_triangles"))
+
+
+def count_split(edges: DataFrame, limit: int = LONGEST) -> DataFrame:
+    """One row, n_triangles: the sum of all edges' intersections, for orders that don't bound the lists.
+
+    If a list is longer than limit, lists are cut by a hash of their elements into parts that aren't, and the
+    parts' intersections are added up; no row holds a hub's whole list.
+    """
+    longest = edges.groupBy("src").count().agg(F.max("count")).first()[0] or 0
+    parts = 2 * -(-longest // limit)  # twice, as hashed parts are uneven
+    if longest <= limit:
+        return count_array(edges)
+    from .partition import column_counts
 
+    return column_counts(edges, lambda v: F.pmod(F.xxhash64(v), F.lit(parts))).agg(F.coalesce(F.sum("n_triangles"), F.lit(0)).cast("long").alias("n_triangles"))
 
-def count_unreduced(u: DataFrame) -> DataFrame:
+
+def count_unreduced(u: DataFrame, limit: int = LONGEST) -> DataFrame:
     """On the symmetric graph each triangle is met six times."""
-    return edge_lists(u).agg(F.floor(F.coalesce(F.sum(common("na", "nb")), F.lit(0)) / 6).cast("long").alias("n_triangles"))
+    return count_split(u, limit).select(F.floor(F.col("n_triangles") / 6).cast("long").alias("n_triangles"))
+
+
+def count_hybrid(o: DataFrame, limit: int = 256) -> DataFrame:
+    """One row, n_triangles: short lists are intersected whole, and where the shorter list exceeds limit its elements are probed in the longer one."""
+    sized = list_sizes(o).where("m > 0 and n > 0").withColumn("far", F.least("m", "n") > limit)
+    adj = adjacency(o)
+    near = sized.where("not far").join(adj.withColumnRenamed("nbrs", "na"), "src").join(adj.select(F.col("src").alias("dst"), F.col("nbrs").alias("nb")), "dst")
+    merged = near.agg(F.sum(common("na", "nb")).alias("n"))
+    ends = sized.where("far").select(F.when(F.col("m") <= F.col("n"), F.col("src")).otherwise(F.col("dst")).alias("s"), F.when(F.col("m") <= F.col("n"), F.col("dst")).otherwise(F.col("src")).alias("l"))
+    probes = ends.join(o.select(F.col("src").alias("s"), F.col("dst").alias("w")), "s").select("l", "w")
+    probed = probes.join(o.select(F.col("src").alias("l"), F.col("dst").alias("w")), ["l", "w"]).agg(F.count("*").alias("n"))
+    return merged.unionByName(probed).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_triangles"))
 
 
 def edge_support(o: DataFrame) -> DataFrame:
-    """(src, dst, support): triangles on each oriented edge (A5)."""
-    t = list_triangles(o)
-    side = lambda x, y: F.struct(F.col(x).alias("src"), F.col(y).alias("dst"))
-    corners = t.select(F.explode(F.array(side("a", "b"), side("a", "c"), side("b", "c"))).alias("e"))
-    counted = corners.select("e.src", "e.dst").groupBy("src", "dst").agg(F.count("*").alias("support"))
-    return o.join(counted, ["src", "dst"], "left").select("src", "dst", F.coalesce("support", F.lit(0)).cast("long").alias("support"))
+    """(src, dst, support): triangles on each oriented edge (A5): its own intersection, and one for each intersection that it is a side of."""
+    t = closed_edges(o)
+    own = t.select("src", "dst", F.size("thirds").cast("long").alias("n"))
+    third = t.select("src", "dst", F.explode("thirds").alias("c"))
+    sides = third.select(F.explode(F.array(F.struct("src", F.col("c").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("c").alias("dst")))).alias("e")).select("e.*", F.lit(1).cast("long").alias("n"))
+    none = o.select("src", "dst", F.lit(0).cast("long").alias("n"))
+    return none.unionByName(own).unionByName(sides).groupBy("src", "dst").agg(F.sum("n").alias("support"))
 
 
 def source_credit(o: DataFrame) -> DataFrame:
@@ -71,13 +113,24 @@ def source_credit(o: DataFrame) -> DataFrame:
 
 
 def vertex_triangles(o: DataFrame) -> DataFrame:
-    """(v, n_triangles) of vertices on a triangle: each corner counts (A4)."""
-    return list_triangles(o).select(F.explode(F.array("a", "b", "c")).alias("v")).groupBy("v").agg(F.count("*").alias("n_triangles"))
+    """(v, n_triangles) of vertices on a triangle: each corner counts (A4); an edge's ends are credited its whole intersection at once."""
+    one = F.lit(1).cast("long").alias("n")
+    n = F.size("thirds").cast("long").alias("n")
+    ends = F.array(F.struct(F.col("src").alias("v"), n), F.struct(F.col("dst").alias("v"), n))
+    credits = closed_edges(o).select(F.inline(F.concat(ends, F.transform("thirds", lambda c: F.struct(c.alias("v"), one)))))
+    return credits.groupBy("v").agg(F.sum("n").alias("n_triangles"))
 
 
 def triangle_edges(o: DataFrame) -> DataFrame:
-    """One row, n_edges: directed edges with a common neighbour, twice the undirected ones."""
-    return edge_support(o).where("support > 0").agg((F.count("*") * 2).alias("n_edges"))
+    """One row, n_edges: directed edges with a common neighbour, twice the undirected ones.
+
+    An edge whose ends' lists overlap is on a triangle (the test stops at the first match); the other two
+    sides are marked from the intersection. Marks meet in the tasks that make them; only distinct ones travel.
+    """
+    third = closed_edges(o).select("src", "dst", F.explode("thirds").alias("c"))
+    side = lambda x, y: F.struct(F.col(x).alias("src"), F.col(y).alias("dst"))
+    marks = third.select(F.explode(F.array(side("src", "dst"), side("src", "c"), side("dst", "c"))).alias("e")).select("e.*").distinct()
+    return o.join(marks, ["src", "dst"], "left_semi").agg((F.count("*") * 2).alias("n_edges"))
 
 
 def clustering(pairs: DataFrame, o: DataFrame) -> DataFrame:

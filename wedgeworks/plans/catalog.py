@@ -92,12 +92,12 @@ def triangle_count_unreduced(spark, sf_dir):
 
 @query("triangle_count_by_id", "select count(*) n_triangles from t")
 def triangle_count_by_id(spark, sf_dir):
-    return triangles.count_array(orient.by_id(pairs(spark, sf_dir)))
+    return triangles.count_split(orient.by_id(pairs(spark, sf_dir)))
 
 
 @query("triangle_count_by_reverse_degree", "select count(*) n_triangles from t")
 def triangle_count_by_reverse_degree(spark, sf_dir):
-    return triangles.count_array(orient.by_reverse_degree(pairs(spark, sf_dir)))
+    return triangles.count_split(kept(orient.by_reverse_degree(pairs(spark, sf_dir)), "oriented"))
 
 
 @query(
@@ -107,7 +107,12 @@ select count(*) n_triangles from tr x join tr y on x.s = y.s join tr z on z.s =
     both=True,
 )
 def triangle_count_trimmed(spark, sf_dir, sparse=False):
-    return triangles.count_array(orient.trimmed(pairs(spark, sf_dir, sparse), TRIM))
+    return triangles.count_split(kept(orient.trimmed(pairs(spark, sf_dir, sparse), TRIM), "oriented"))
+
+
+@query("triangle_count_hybrid", "select count(*) n_triangles from t")
+def triangle_count_hybrid(spark, sf_dir):
+    return triangles.count_hybrid(ordered(spark, sf_dir), SWITCH)
 
 
 @query("copurchase_edges", "select src, dst from p")
@@ -256,7 +261,7 @@ def cost_merge_vs_search(spark, sf_dir):
 CUTS_SQL = """, {name}c as (select v, sum(w) over (order by v) total, sum(w) over () al from {name}w),
 {name} as (select cast(least(floor((total - 1) * {n} / al), {n} - 1) as bigint) part, max(v) hi from {name}c group by 1)"""
 COL_SQL = ", colw as (select d v, count(*) w from o group by 1)" + CUTS_SQL.format(name="col", n=COLUMNS)
-ROW_SQL = ", rw as (select s v, count(*) + 2 w from o group by 1)" + CUTS_SQL.format(name="r", n=ROWS)
+ROW_SQL = ", ids as (select unnest(range(0, (select max(v) + 1 from g))) v), rw as (select ids.v, coalesce(od.n, 0) + 2 w from ids left join od on od.s = ids.v)" + CUTS_SQL.format(name="r", n=ROWS)
 COL_OF = f"(select count(*) from col where part < {COLUMNS} - 1 and hi < {{}})"
 
 
@@ -277,7 +282,16 @@ def col_part_counts(spark, sf_dir):
     return partition.column_counts(o, lambda v: partition.part_of(v, cuts))
 
 
-@query("row_cuts_greedy")
+@query(
+    "row_cuts_greedy",
+    COL_SQL + f""", z as (select (select max(v) from g) top, (select count(*) from o) // {COLUMNS * ROWS} size),
+cr as (select k, r, sum(coalesce(w, 0)) over (partition by k order by r) e from (select unnest(range(0, (select top + 1 from z))) r) cross join (select part k from col)
+  left join (select {COL_OF.format('o.d')} k, s r, count(*) w from o group by 1, 2) using (k, r)),
+ends as (select lo, greatest(lo, min(hi)) hi from (select lo, k, max(r) filter (where fits) hi from (
+  select b.k, b.r + 1 lo, x.r, x.e - b.e + 2 * (x.r - b.r) <= (select size from z) fits from (select k, r, e from cr union all select part, -1, 0 from col) b join cr x on x.k = b.k and x.r > b.r and x.r <= b.r + 1 + (select size from z) // 2) group by 1, 2) group by 1),
+parts as (select cast(0 as bigint) part, hi from ends where lo = 0 union all select p.part + 1, e.hi from parts p join ends e on e.lo = p.hi + 1)
+select part, cast(hi as bigint) hi from parts""",
+)
 def row_cuts_greedy(spark, sf_dir):
     o = ordered(spark, sf_dir)
     cuts = partition.bounds(partition.column_cuts(o, COLUMNS))
@@ -314,8 +328,7 @@ def uniform_cells(spark, sf_dir):
 
 def cells(spark, sf_dir):
     o = ordered(spark, sf_dir)
-    top = o.agg(F.max(F.greatest("src", "dst"))).first()[0] or 0
-    n, m = partition.uniform_step(top, GRID), partition.uniform_step(top, COLUMNS)
+    n, m = grids(o)
     return partition.cell_counts(o, lambda v: partition.uniform_part(v, n), lambda v: partition.uniform_part(v, m))
 
 
@@ -329,13 +342,91 @@ def cell_pair_counts(spark, sf_dir):
     return partition.pair_counts(cells(spark, sf_dir))
 
 
+def grids(o: DataFrame) -> tuple[int, int]:
+    top = o.agg(F.max(F.greatest("src", "dst"))).first()[0] or 0
+    return partition.uniform_step(top, GRID), partition.uniform_step(top, COLUMNS)
+
+
+@query("subproblems", STEP_SQL + f""", n as (select a // step i, b // step j, c // cstep k, count(*) n from t, st group by 1, 2, 3), ts as (select unnest(range(0, {GRID * GRID * COLUMNS})) t)
+select t, i, j, k, coalesce(n, 0) n_triangles from (select t, t % {GRID} i, t // {GRID} % {GRID} j, t // {GRID * GRID} k from ts) left join n using (i, j, k)""")
+def subproblems(spark, sf_dir):
+    counted = cells(spark, sf_dir).select(partition.subproblem(F.col("i"), F.col("j"), F.col("k"), GRID).alias("t"), "n_triangles")
+    every = spark.range(GRID * GRID * COLUMNS).withColumnRenamed("id", "t")
+    named = every.select("t", *[c.alias(n) for n, c in zip("ijk", partition.subproblem_cell(F.col("t"), GRID), strict=True)])
+    return named.join(counted, "t", "left").select("t", "i", "j", "k", F.coalesce("n_triangles", F.lit(0)).cast("long").alias("n_triangles"))
+
+
+@query("pair_subproblems", STEP_SQL + f""", n as (select least(a // step, b // step) lo, greatest(a // step, b // step) hi, c // cstep k, count(*) n from t, st group by 1, 2, 3),
+every as (select lo, hi, k from (select unnest(range(0, {GRID})) lo), (select unnest(range(0, {GRID})) hi), (select unnest(range(0, {COLUMNS})) k) where lo <= hi)
+select row_number() over (order by k, hi, lo) - 1 t, lo, hi, k, coalesce(n, 0) n_triangles from every left join n using (lo, hi, k)""")
+def pair_subproblems(spark, sf_dir):
+    counted = partition.pair_counts(cells(spark, sf_dir))
+    counted = counted.select(partition.pair_subproblem(F.col("lo"), F.col("hi"), F.col("k"), GRID).alias("t"), "n_triangles")
+    every = spark.range(GRID * (GRID + 1) // 2 * COLUMNS).withColumnRenamed("id", "t")
+    named = every.select("t", *[c.alias(n) for n, c in zip(("lo", "hi", "k"), partition.pair_subproblem_cell(F.col("t"), GRID), strict=True)])
+    return named.join(counted, "t", "left").select("t", "lo", "hi", "k", F.coalesce("n_triangles", F.lit(0)).cast("long").alias("n_triangles"))
+
+
+@query("one_subproblem", STEP_SQL + " select count(*) n_triangles from t, st where a // step = 1 and b // step = 2 and c // cstep = 1")
+def one_subproblem(spark, sf_dir):
+    o = ordered(spark, sf_dir)
+    n, m = grids(o)
+    part = lambda c, size: partition.uniform_part(F.col(c), size)
+    path = scratch_path(spark, "cells")
+    source.write_cells(o.withColumns({"row_part": part("src", n), "dst_part": part("dst", n), "col_part": part("dst", m)}), path, "row_part", "dst_part", "col_part")
+    return partition.one_cell(spark.read.parquet(path), 1, 2, 1)
+
+
+@query(
+    "column_cells_roundtrip",
+    COL_SQL + f""", cw as (select {COL_OF.format('o.d')} k, s v, count(*) w from o group by 1, 2),
+cc as (select k, v, sum(w) over (partition by k order by v) total, sum(w) over (partition by k) al from cw),
+pc as (select k, cast(least(floor((total - 1) * {ROWS} / al), {ROWS} - 1) as bigint) part, max(v) hi from cc group by 1, 2),
+cells as (select s, d, (select count(*) from pc where k = 1 and part < {ROWS} - 1 and hi < s) i, (select count(*) from pc where k = 1 and part < {ROWS} - 1 and hi < d) j from o)
+select s src, d dst from cells where i = 0 and j = 1""",
+)
+def column_cells_roundtrip(spark, sf_dir):
+    o = ordered(spark, sf_dir)
+    cuts = partition.bounds(partition.column_cuts(o, COLUMNS))
+    rows = partition.per_column_row_cuts(o, partition.part_of(F.col("dst"), cuts), ROWS).collect()  # a row a part of each column
+    path = scratch_path(spark, "column-cells")
+    source.write_column_cells(o, path, {k: sorted(r.hi for r in rows if r.k == k)[:-1] for k in range(COLUMNS)})
+    return spark.read.parquet(path).where("k = 1 and i = 0 and j = 1").select("src", "dst")
+
+
 @query("cell_check", "select cast(0 as bigint) n_violations")
 def cell_check(spark, sf_dir):
+    return checked_cells(spark, sf_dir, lambda i: i)
+
+
+@query("cell_check_planted", STEP_SQL + f" select count(*) n_violations from u, st where s % 7 = 0 and s // step < {GRID - 1}")
+def cell_check_planted(spark, sf_dir):
+    """Every seventh vertex's edges are put one row part too far, but for the last part."""
+    return checked_cells(spark, sf_dir, lambda i: i + F.when((F.col("src") % 7 == 0) & (i < GRID - 1), 1).otherwise(0))
+
+
+def checked_cells(spark, sf_dir, row):
     u = symmetric(spark, sf_dir)
     n = step(u, GRID)
     limits = [(axis, i, i * n, (i + 1) * n - 1) for axis in ("row", "column") for i in range(GRID)]
     named = spark.createDataFrame(limits, "axis string, part long, lo long, hi long")
-    return partition.cell_check(u, partition.uniform_part(F.col("src"), n), partition.uniform_part(F.col("dst"), n), named)
+    return partition.cell_check(u, row(partition.uniform_part(F.col("src"), n)), partition.uniform_part(F.col("dst"), n), named)
+
+
+@query("partition_count", f"select count(*) n_edges, cast(1 + floor(sqrt(((count(*) - 1) // {CHUNK}) // 2)) as bigint) parts from o")
+def partition_count(spark, sf_dir):
+    return ordered(spark, sf_dir).agg(F.count("*").alias("n_edges")).select("n_edges", partition.part_count(F.col("n_edges"), CHUNK).alias("parts"))
+
+
+@query(
+    "part_chunk_counts",
+    COL_SQL + f""", ch as (select s, d, cast((row_number() over (order by s, d) - 1) // {CHUNK} as bigint) chunk from o)
+select {COL_OF.format('t.c')} k, chunk, count(*) n_triangles from t join ch on ch.s = t.a and ch.d = t.b group by 1, 2""",
+)
+def part_chunk_counts(spark, sf_dir):
+    o = ordered(spark, sf_dir)
+    cuts = partition.bounds(partition.column_cuts(o, COLUMNS))
+    return partition.part_chunk_counts(o, lambda v: partition.part_of(v, cuts), CHUNK)
 
 
 @query(
@@ -409,6 +500,47 @@ def cell_roundtrip(spark, sf_dir, sparse=False):
     return spark.read.parquet(path).where("row_part = 1 and col_part = 2").select("src", "dst")
 
 
+@query("csr_roundtrip", "select s src, d dst from u")
+def csr_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "csr")
+    u = symmetric(spark, sf_dir)
+    source.write_csr(u, path, part_edges=-(-u.count() // ROWS))
+    return source.read_csr(path, spark)
+
+
+@query("csr_heads_roundtrip", "select s src, d dst from o")
+def csr_heads_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "csr")
+    o = ordered(spark, sf_dir)
+    source.write_csr(o, path, part_edges=-(-o.count() // ROWS), vertex=8)
+    return source.read_csr(path, spark, vertex=8, head=True)
+
+
+@query("csr_parts", "select cast(0 as bigint) begin_first, (select max(v) from g) hi_last, (select count(*) from u) n_edges")
+def csr_parts(spark, sf_dir):
+    u = symmetric(spark, sf_dir)
+    parts = source.write_csr(u, scratch_path(spark, "csr"), part_edges=-(-u.count() // ROWS))
+    return parts.agg(F.min("begin").alias("begin_first"), F.max("hi").alias("hi_last"), F.sum("n_edges").alias("n_edges"))
+
+
+@query("tuple_roundtrip", "select src, dst from p")
+def tuple_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "tuples")
+    source.write_tuples(pairs(spark, sf_dir), path)
+    return source.read_tuple_bin(spark, f"{path}/part-*.bin")
+
+
+@query(
+    "adjacency_lines",
+    """, ids as (select unnest(range(0, (select max(v) + 1 from g))) v), nv as (select count(*) v from ids),
+off as (select ids.v, coalesce(sum(n) over (order by ids.v rows between unbounded preceding and 1 preceding), 0) b from ids left join g on g.v = ids.v)
+select cast(0 as bigint) line, 'AdjacencyGraph' "value" union all select 1, cast(v as varchar) from nv union all select 2, cast(count(*) as varchar) from u
+union all select v + 3, cast(b as varchar) from off union all select (row_number() over (order by s, d)) + 2 + (select v from nv), cast(d as varchar) from u""",
+)
+def adjacency_lines(spark, sf_dir):
+    return source.adjacency_lines(symmetric(spark, sf_dir))
+
+
 @query(
     "adjacency_text",
     """, ids as (select unnest(range(0, (select max(v) + 1 from g))) v), off as (select ids.v, coalesce(sum(n) over (order by ids.v rows between unbounded preceding and 1 preceding), 0) b from ids left join g on g.v = ids.v)

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-EDGE = "src bigint, dst bigint"
-
 
 def read_edge_text(spark: SparkSession, path: str, shift: bool = False, symmetric: bool = False, skip_rows: int = 0) -> DataFrame:
     """(src, dst) from text: two numbers by blanks or tabs; further columns ignored.
@@ -41,33 +40,49 @@ def shift_ids(edges: DataFrame) -> DataFrame:
     return edges.select((F.col("src") - low).alias("src"), (F.col("dst") - low).alias("dst"))
 
 
-def read_tuple_bin(spark: SparkSession, path: str, width: int = 4) -> DataFrame:
-    """(src, dst) from files of packed little-endian integer pairs of width bytes (S18); a file is one task's work."""
-    kind = f"<i{width}"
+def read_records(spark: SparkSession, path: str, width: int) -> DataFrame:
+    """(pos, record): fixed-length binary records of the files of a path or pattern, numbered on through the files in order of their names.
 
-    def decoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for content in frame["content"]:
-                pairs = np.frombuffer(content, kind).reshape(-1, 2).astype(np.int64)
-                yield pd.DataFrame({"src": pairs[:, 0], "dst": pairs[:, 1]})
+    There is no DataFrame source of fixed-length records; this is Spark's own, which splits files between
+    records and reads from any store, wrapped without Python.
+    """
+    encoders = spark._jvm.org.apache.spark.sql.Encoders
+    numbered = spark.sparkContext._jsc.binaryRecords(path, width).zipWithIndex()
+    made = spark._jsparkSession.createDataset(numbered.rdd(), encoders.tuple(encoders.BINARY(), encoders.LONG()))
+    return DataFrame(made.toDF(), spark).select(F.col("_2").alias("pos"), F.col("_1").alias("record"))
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(decoded, EDGE)
 
+def little_endian(record: Column, at: int, width: int) -> Column:
+    """The integer in bytes at .. at + width of a record; unsigned below 8 bytes."""
+    digits = F.concat(*[F.hex(F.substr(record, F.lit(at + i + 1), F.lit(1))) for i in reversed(range(width))])
+    return F.conv(digits, 16, -10).cast("long")
 
-def read_csr(folder: str, spark: SparkSession, offset: str = "<i8", vertex: str = "<i4") -> DataFrame:
-    """(src, dst) from a folder with begin.bin and adjacent.bin (S11, S12); sizes follow from the files."""
-    files = spark.read.format("binaryFile").load(folder).where(F.col("path").rlike(r"/(begin|adjacent)\.bin$"))
-    both = files.select(F.regexp_extract("path", r"(\w+)\.bin$", 1).alias("name"), "content").groupBy().pivot("name", ["begin", "adjacent"]).agg(F.first("content"))
 
-    def decoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for begin, adjacent in zip(frame["begin"], frame["adjacent"], strict=True):
-                starts, targets = np.frombuffer(begin, offset), np.frombuffer(adjacent, vertex).astype(np.int64)
-                if len(starts) and starts[-1] != len(targets):
-                    raise ValueError("offsets do not end at the number of neighbours")
-                yield pd.DataFrame({"src": np.repeat(np.arange(max(0, len(starts) - 1), dtype=np.int64), np.diff(starts)), "dst": targets})
+def read_tuple_bin(spark: SparkSession, path: str, width: int = 4) -> DataFrame:
+    """(src, dst) from files of packed little-endian integer pairs of width bytes each (S18), split between pairs."""
+    record = F.col("record")
+    return read_records(spark, path, 2 * width).select(little_endian(record, 0, width).alias("src"), little_endian(record, width, width).alias("dst"))
 
-    return both.mapInPandas(decoded, EDGE)
+
+def read_csr(folder: str, spark: SparkSession, offset: int = 8, vertex: int = 4, head: bool = False, names: tuple[str, str, str] = ("begin*.bin", "adjacent*.bin", "head*.bin"), block: int = 1 << 16) -> DataFrame:
+    """(src, dst) from a folder of offsets and neighbours, in one file each or in parts in order.
+
+    With head, sources are read from their own file; else an offset's neighbours lie up to the next offset.
+    Fails if offsets don't end at the number of neighbours. Neighbours are joined to their sources by
+    position; a hub's positions are made in blocks, so no row is longer than block.
+    """
+    numbers = lambda name, width: read_records(spark, f"{folder}/{name}", width).select("pos", little_endian(F.col("record"), 0, width).alias("x"))
+    begin, adjacent = numbers(names[0], offset), numbers(names[1], vertex)
+    end, n = begin.agg(F.max_by("x", "pos")).first()[0] or 0, adjacent.count()
+    if end != n:
+        raise ValueError(f"offsets end at {end}, but there are {n} neighbours")
+    targets = adjacent.select("pos", F.col("x").alias("dst"))
+    if head:
+        return targets.join(numbers(names[2], vertex).select("pos", F.col("x").alias("src")), "pos").select("src", "dst")
+    spans = begin.join(begin.select((F.col("pos") - 1).alias("pos"), F.col("x").alias("end")), "pos").where("x < end")
+    blocks = spans.select(F.col("pos").alias("src"), "x", "end", F.explode(F.sequence(F.floor(F.col("x") / block), F.floor((F.col("end") - 1) / block))).alias("b"))
+    places = F.sequence(F.greatest("x", F.col("b") * block), F.least(F.col("end"), (F.col("b") + 1) * block) - 1)
+    return blocks.select("src", F.explode(places).alias("pos")).join(targets, "pos").select("src", "dst")
 
 
 def copurchase_pairs(spark: SparkSession, sf_dir: str, sparse: bool = False, loops: bool = False) -> DataFrame:
@@ -97,50 +112,107 @@ def write_cells(edges: DataFrame, path: str, *keys: str) -> None:
     edges.repartition(*keys).sortWithinPartitions(*keys, "src", "dst").write.partitionBy(*keys).parquet(path)
 
 
+def write_column_cells(edges: DataFrame, path: str, cuts: dict[int, list[int]]) -> None:
+    """Edge cells (i, j, k) by row cuts of each column part k: the edge list is dealt out once for each column.
+
+    cuts: for each column part, the last ids of its row parts but the last.
+    """
+    from ..operators.partition import part_of
+
+    def placed(k: int) -> Column:
+        return F.struct(F.lit(k).alias("k"), part_of(F.col("src"), cuts[k]).alias("i"), part_of(F.col("dst"), cuts[k]).alias("j"))
+
+    cells = edges.select("src", "dst", F.inline(F.array(*[placed(k) for k in sorted(cuts)])))
+    write_cells(cells, path, "k", "i", "j")
+
+
+def adjacency_lines(edges: DataFrame) -> DataFrame:
+    """(line, value): the text form of K2, numbered from 0: header, V, E, then V offsets, then E neighbours."""
+    from ..operators.degree import csr_offsets, neighbour_rank
+
+    last, e = edges.agg(F.max(F.greatest("src", "dst")), F.count("*")).first()
+    v = 0 if last is None else last + 1
+    ids = edges.sparkSession.range(v).withColumnRenamed("id", "v")
+    head = edges.sparkSession.range(3).select(F.col("id").alias("line"), F.get(F.array(F.lit("AdjacencyGraph"), F.lit(str(v)), F.lit(str(e))), F.col("id").cast("int")).alias("value"))
+    starts = csr_offsets(edges, ids)
+    offsets = starts.select((F.col("v") + 3).alias("line"), F.col("begin_pos").cast("string").alias("value"))
+    placed = neighbour_rank(edges).join(starts.select(F.col("v").alias("src"), "begin_pos"), "src")
+    return head.unionByName(offsets).unionByName(placed.select((F.col("begin_pos") + F.col("pos") + 3 + v).alias("line"), F.col("dst").cast("string").alias("value")))
+
+
 def write_adjacency_text(edges: DataFrame, path: str) -> None:
-    """The text form of K2: a line with header, V, E, then V offsets, then E neighbours, one value a line."""
-    from ..operators.degree import csr_offsets
+    """adjacency_lines as text, in order."""
+    adjacency_lines(edges).orderBy("line").select("value").write.text(path)
+
+
+def _put(url: str, pieces: Iterable[bytes]) -> int:
+    """Writes a file by a task: under a name of its own first, so that a task that is run again leaves one file."""
+    from pyarrow import fs
 
-    size = edges.agg((F.max(F.greatest("src", "dst")) + 1).alias("v"), F.count("*").alias("e"))
-    head = size.select(F.posexplode(F.array(F.lit("AdjacencyGraph"), F.col("v").cast("string"), F.col("e").cast("string"))).alias("i", "value")).select(F.lit(0).alias("part"), F.col("i").cast("long"), F.lit(0).cast("long").alias("j"), "value")
-    ids = size.select(F.explode(F.sequence(F.lit(0), F.col("v") - 1)).alias("v"))
-    offsets = csr_offsets(edges, ids).select(F.lit(1).alias("part"), F.col("v").alias("i"), F.lit(0).cast("long").alias("j"), F.col("begin_pos").cast("string").alias("value"))
-    values = edges.select(F.lit(2).alias("part"), F.col("src").alias("i"), F.col("dst").alias("j"), F.col("dst").cast("string").alias("value"))
-    head.unionByName(offsets).unionByName(values).orderBy("part", "i", "j").select("value").write.text(path)
+    store, path = fs.FileSystem.from_uri(url)
+    store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    own, size = f"{path}.{uuid.uuid4().hex[:8]}", 0
+    with store.open_output_stream(own) as out:
+        for piece in pieces:
+            out.write(piece)
+            size += len(piece)
+    store.move(own, path)
+    return size
 
 
-def export_csr(edges: DataFrame, folder: str, offset: str = "<i8", vertex: str = "<i4") -> None:
-    """begin.bin, adjacent.bin and head.bin on the driver's disk, for programs that map them (K1, K3, K4).
+def write_csr(edges: DataFrame, folder: str, part_edges: int = 1 << 23, offset: int = 8, vertex: int = 4, prefix: str = "") -> DataFrame:
+    """(part, lo, hi, begin, n_edges): writes a CSR folder by row parts of about part_edges edges, a task a part (K1, K3, K4).
 
-    A single machine's format: rows stream through the driver in order, one partition at a time.
+    Part p holds ids lo..hi in begin-p.bin, adjacent-p.bin, head-p.bin and degree-p.bin (names after prefix).
+    Offsets run on through the parts and the last one ends them, so the parts in order, one after the other,
+    are the files of a single machine's CSR. A directed graph's incoming lists are a second call with
+    reversed edges and prefix "in-". folder: a URI of a store that tasks can write to.
     """
-    from ..operators.degree import degree
-
-    os.makedirs(folder, exist_ok=True)
-    last = edges.agg(F.max(F.greatest("src", "dst"))).first()[0]
-    counts = np.zeros(0 if last is None else last + 1, offset)
-    for row in degree(edges).toLocalIterator():
-        counts[row.v] = row.deg
-    np.concatenate([[0], np.cumsum(counts)]).astype(offset).tofile(os.path.join(folder, "begin.bin"))
-    counts.astype("<i4").tofile(os.path.join(folder, "degree.bin"))
-    with open(os.path.join(folder, "adjacent.bin"), "wb") as adjacent, open(os.path.join(folder, "head.bin"), "wb") as head:
-        rows: list[tuple[int, int]] = []
-
-        def flush() -> None:
-            pairs = np.array(rows, np.int64).reshape(-1, 2)
-            pairs[:, 0].astype(vertex).tofile(head)
-            pairs[:, 1].astype(vertex).tofile(adjacent)
-            rows.clear()
-
-        for row in edges.select("src", "dst").orderBy("src", "dst").toLocalIterator():
-            rows.append((row.src, row.dst))
-            if len(rows) >= 1 << 16:
-                flush()
-        flush()
-
-
-def export_tuples(edges: DataFrame, path: str, vertex: str = "<i4") -> None:
-    """Packed pairs in one file on the driver's disk."""
-    with open(path, "wb") as out:
-        for row in edges.select("src", "dst").toLocalIterator():
-            np.array([row.src, row.dst], vertex).tofile(out)
+    from ..operators.partition import bounds, cut_points, part_of
+
+    url = folder if "://" in folder else f"file://{os.path.abspath(folder)}"
+    top, n = edges.agg(F.max(F.greatest("src", "dst")), F.count("*")).first()
+    schema = "part bigint, lo bigint, hi bigint, begin bigint, n_edges bigint"
+    if top is None:
+        _put(f"{url}/{prefix}begin-00000.bin", [bytes(offset)])
+        for name in ("adjacent", "head", "degree"):
+            _put(f"{url}/{prefix}{name}-00000.bin", [])
+        return edges.sparkSession.createDataFrame([], schema)
+    cuts = bounds(cut_points(edges.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("w")), max(1, -(-n // part_edges))))
+    cuts = sorted(set(cuts))
+    placed = edges.select(part_of(F.col("src"), cuts).alias("part"), "src", "dst")
+    sizes = {r.part: r["count"] for r in placed.groupBy("part").count().collect()}  # a row a part
+    layout, at = {}, 0
+    for p in range(len(cuts) + 1):
+        layout[p] = (cuts[p - 1] + 1 if p else 0, cuts[p] if p < len(cuts) else top, at)
+        at += sizes.get(p, 0)
+
+    def put(rows: pa.Table) -> pa.Table:
+        p = rows.column("part")[0].as_py()
+        lo, hi, start = layout[p]
+        src, dst = rows.column("src").to_numpy(), rows.column("dst").to_numpy()
+        order = np.lexsort((dst, src))
+        degree = np.bincount(src - lo, minlength=hi - lo + 1)
+        begin = start + np.concatenate([[0], np.cumsum(degree)])
+        files = {"begin": (begin if p == len(cuts) else begin[:-1], offset), "adjacent": (dst[order], vertex), "head": (src[order], vertex), "degree": (degree, 4)}
+        for name, (values, width) in files.items():
+            _put(f"{url}/{prefix}{name}-{p:05d}.bin", [values.astype(f"<i{width}").tobytes()])
+        return pa.table({"part": [p], "lo": [lo], "hi": [hi], "begin": [start], "n_edges": [len(src)]})
+
+    from .scratch import kept
+
+    return kept(placed.groupBy("part").applyInArrow(put, schema), "csr-parts")
+
+
+def write_tuples(edges: DataFrame, folder: str, vertex: int = 4) -> int:
+    """Packed pairs in a file a task, part-<task>.bin, in a folder (S5, S6); returns how many."""
+    url = folder if "://" in folder else f"file://{os.path.abspath(folder)}"
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        pieces = (np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1).astype(f"<i{vertex}").tobytes() for b in batches)
+        size = _put(f"{url}/part-{TaskContext.get().partitionId():05d}.bin", pieces)
+        yield pa.RecordBatch.from_arrays([pa.array([size // (2 * vertex)], pa.int64())], names=["n"])
+
+    return edges.select("src", "dst").mapInArrow(put, "n bigint").agg(F.sum("n")).first()[0] or 0
