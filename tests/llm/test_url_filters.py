@@ -33,6 +33,7 @@ def test_contract_rules_and_odd_urls(spark):
         "http://.org/", "http://a..org/", "http://org./", "http://example.org:80/es/", "x" * 100_000 + "://y.com/de/",
     ]
     check(spark, urls + urls[:9], RULES)
+    check(spark, urls + urls[:9], RULES, hot_rows=2)  # some hosts are hot, some of them without rules
 
 
 def test_nested_rules_over_many_cells_and_salts(spark):

@@ -1,13 +1,19 @@
 """Personal data spans by weak supervision (native).
 
 Candidates are the matches of four base patterns (those that pass their check are always reported) and of
-four looser ones. On each candidate five labelers vote yes, no or nothing: shape, check (length, checksum,
-ranges), gazetteer (top-level domains, calling codes, issuer prefixes, public address ranges), words before
-it that speak for the kind, and surroundings that speak against it. Candidates with the same votes and size
-class are one pattern; patterns are counted over all documents. Expectation-maximisation on those counts
-estimates each labeler's reliability by kind and each pattern's probability; a logistic classifier fitted
-to the probabilities makes the final decision about a candidate. There are at most 4 * 3^5 * 3 patterns,
-whatever the corpus, so their counts fit on the driver.
+four looser ones, wide enough to take in much that is no personal data: obfuscated addresses, long
+addresses, card-like and phone-like groups of digits of any grouping. On each candidate five labelers vote
+yes, no or nothing: shape, check (length, checksum, ranges), gazetteer (top-level domains, calling codes,
+issuer prefixes, public address ranges), words before it that speak for the kind, and surroundings that speak
+against it (words, glued letters, a reported span of another kind in the same place). Vote patterns are
+counted over all documents; expectation-maximisation on the counts estimates each labeler's reliability by
+kind and each pattern's probability.
+
+The final decision is a span classifier's, one for each kind, trained on those probabilities: logistic, on
+what the span and its surroundings look like (FEATURES: length, digits, separators, how it begins, its own
+checks, characters and words around it), which the labelers don't see, or see by halves. It is trained on the
+``SAMPLE_PATTERNS`` most frequent patterns of votes and features, and applied to every loose candidate as one
+sum of weights. There are at most 4 * 3^5 vote patterns, whatever the corpus.
 
 Base patterns are written with possessive quantifiers and look-behinds that match the same spans as the
 plain forms without backtracking over long runs.
@@ -23,7 +29,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, table
@@ -31,7 +37,10 @@ from .quality_rules import let
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("shape", "check", "gazetteer", "before", "against")
-PATTERN_TYPE = "array<struct<k:int,s:int,e:int,base:boolean,key:string>>"
+FEATURES = ("length", "digits", "separators", "start", "check", "gazetteer", "char_before", "char_after", "word_before", "word_after")
+PATTERN_TYPE = "array<struct<k:int,s:int,e:int,base:boolean,key:string,f:array<int>>>"
+#: Patterns of votes and features that the span classifiers are trained on.
+SAMPLE_PATTERNS = 20_000
 
 BASE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -42,8 +51,13 @@ BASE = {
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20?[\[(]at[\])]\x20?|\x20at\x20)[A-Za-z0-9-]++(?:(?:\x20?[\[(]dot[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9-])(?:3[47][0-9]{2}[\x20-]?[0-9]{6}[\x20-]?[0-9]{5}|[3-6][0-9]{3}(?:[\x20-]?[0-9]{4}){3})(?![0-9-])",
-    "phone": r"(?<![0-9+.-])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])",
+    "card": r"(?<![0-9-])[0-9]{4}(?:[\x20-]?[0-9]{2,6}){2,4}(?![0-9-])",
+    "phone": r"(?<![0-9+.-])(?:\+[0-9]{1,3}[\x20.-]?)?\(?[0-9]{2,4}\)?(?:[\x20.-]{1,2}\(?[0-9]{2,4}\)?){1,4}(?![0-9.-])",
+}
+#: Shapes that speak neither for nor against a looser candidate; other shapes speak against it.
+USUAL = {
+    "card": r"^(?:3[47][0-9]{2}[\x20-]?[0-9]{6}[\x20-]?[0-9]{5}|[3-6][0-9]{3}(?:[\x20-]?[0-9]{4}){3})$",
+    "phone": r"^(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}$",
 }
 #: Cheap conditions without which a pattern can't match.
 NEEDS = {
@@ -53,8 +67,8 @@ NEEDS = {
     ("phone", True): lambda t: F.contains(t, F.lit("+")),
     ("email", False): lambda t: F.rlike(t, F.lit(r"[\x20\[(]dot[\x20\])]")),
     ("ip", False): lambda t: F.rlike(t, F.lit(r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]")),
-    ("card", False): lambda t: F.rlike(t, F.lit(r"3[47][0-9]{2}[\x20-]?[0-9]{6}|[3-6][0-9]{3}[\x20-]?[0-9]{4}")),
-    ("phone", False): lambda t: F.rlike(t, F.lit(r"[0-9]{3}[\x20.-][0-9]{4}")),
+    ("card", False): lambda t: F.rlike(t, F.lit(r"[0-9]{4}[\x20-]?[0-9]{2}")),
+    ("phone", False): lambda t: F.rlike(t, F.lit(r"[0-9][)\x20.-]{1,3}\(?[0-9]{2}")),
 }
 # fixed values: common top-level domains, calling codes, issuer prefixes, and words around personal data
 DOMAINS = r"\.(?:com|org|net|edu|gov|mil|info|biz|io|co|de|fr|es|it|nl|uk|us|eu|ch|at|be|pt|pl|ru|jp|cn|in|br|au|ca|mx|ar|example|test)$"
@@ -81,7 +95,7 @@ def occurrences(text: Column, pattern: str) -> Column:
             row = F.struct(
                 s.alias("s"), e.alias("e"), F.get(hits, i).alias("hit"),
                 F.lower(F.right(F.get(gaps, i), F.lit(40))).alias("left"),
-                F.left(F.get(gaps, i + 1), F.lit(2)).alias("right"),
+                F.lower(F.left(F.get(gaps, i + 1), F.lit(12))).alias("right"),
             )
             return F.struct(e.alias("at"), F.array_append(acc["out"], row).alias("out"))
 
@@ -110,23 +124,24 @@ def luhn(number: Column) -> Column:
 
 def passes(kind: str, hit: Column) -> Column:
     """A base match's own check."""
-    n = F.length(digits(hit))
+    number = digits(hit)
     if kind == "ip":
         return F.rlike(hit, F.lit(r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])(?:\.|$)){4}$"))
     if kind == "card":
-        return F.when((n >= 16) & (n <= 19), luhn(digits(hit))).otherwise(False)
+        return let(number, lambda d: F.when(F.length(d).between(16, 19), luhn(d)).otherwise(False))
     if kind == "phone":
-        return (n >= 8) & (n <= 15)
+        return F.length(number).between(8, 15)
     return F.lit(True)
 
 
-def votes(kind: str, base: bool, x: Column) -> list[Column]:
+def checks(kind: str, base: bool, x: Column) -> tuple[Column, Column]:
+    """Whether a candidate passes its kind's check, and is in its gazetteer."""
     hit, n = x["hit"], F.length(digits(x["hit"]))
     flat = F.regexp_replace(F.lower(hit), r"\x20?[\[(]?\bdot\b[\])]?\x20?", ".")
     check = {
         "email": F.rlike(flat, F.lit(r"\.[a-z]{2,24}$")) & ~F.rlike(flat, F.lit(r"^[.-]|\.\.|\.(?:@|$)")),
         "ip": ~F.rlike(hit, F.lit(r"(?:^|\.)0[0-9]")) if base else F.rlike(hit, F.lit("[1-9a-fA-F]")),
-        "card": luhn(digits(hit)),
+        "card": luhn(digits(hit)) & (n >= 13),
         "phone": (n >= 10) & (n <= 15),
     }[kind]
     gazetteer = {
@@ -135,45 +150,99 @@ def votes(kind: str, base: bool, x: Column) -> list[Column]:
         "card": F.rlike(digits(hit), F.lit(ISSUERS)),
         "phone": F.rlike(F.regexp_replace(hit, r"[\x20().-]", ""), F.lit(CALLING if base else r"^(?:\+[0-9]{1,3})?[2-9][0-9]{2}[2-9]")),
     }[kind]
-    yes_no = lambda c: F.when(c, 1).otherwise(-1)
-    against = F.rlike(x["left"], F.lit(AGAINST)) | F.rlike(x["right"], F.lit(r"^(?:[0-9A-Za-z]|[.,][0-9])"))
-    return [F.lit(1 if base else 0), yes_no(check), yes_no(gazetteer), F.when(F.rlike(x["left"], F.lit(BEFORE[kind])), 1).otherwise(0), F.when(against, -1).otherwise(0)]
+    return check, gazetteer
 
 
-def candidates_of(text: Column, k: int, base: bool) -> Column:
+def votes(kind: str, base: bool, x: Column, check: Column, gazetteer: Column, taken: Column) -> list[Column]:
+    """LABELERS' votes; taken: whether a reported span of another kind lies there."""
+    yes_no = lambda c: F.when(c, 1).otherwise(-1)
+    against = F.rlike(x["left"], F.lit(AGAINST)) | F.rlike(x["left"], F.lit(r"[0-9a-z]$" if not base else r"[0-9]$")) | F.rlike(x["right"], F.lit(r"^(?:[0-9a-z]|[.,][0-9])")) | taken
+    shape = F.lit(1) if base else F.when(F.rlike(x["hit"], F.lit(USUAL[kind])), 0).otherwise(-1) if kind in USUAL else F.lit(0)
+    return [shape, yes_no(check), yes_no(gazetteer), F.when(F.rlike(x["left"], F.lit(BEFORE[kind])), 1).otherwise(0), F.when(against, -1).otherwise(0)]
+
+
+def first_that(*tests: Column) -> Column:
+    """Number of the first test that holds, or how many there are."""
+    out = F.lit(len(tests))
+    for i in range(len(tests) - 1, -1, -1):
+        out = F.when(tests[i], i).otherwise(out)
+    return out
+
+
+def looks(kind: str, x: Column, check: Column, gazetteer: Column) -> list[Column]:
+    """FEATURES as small numbers."""
+    hit, left, right = x["hit"], x["left"], x["right"]
+    n = F.length(hit)
+    has = lambda text, pattern: F.rlike(text, F.lit(pattern))
+    return [
+        first_that(n < 8, n < 12, n < 16, n < 20, n < 28),
+        let(F.length(digits(hit)) / n, lambda share: first_that(share == 0, share < 0.25, share < 0.5, share < 0.9)),
+        let(F.regexp_replace(hit, r"[^\x20./-]", ""), lambda bare: first_that(bare == "", has(bare, r"^\x20+$"), has(bare, r"^-+$"), has(bare, r"^\.+$"))),
+        first_that(has(hit, r"^\+"), has(hit, r"^\("), has(hit, "^0"), has(hit, "^[1-9]"), has(hit, "^[A-Za-z]")),
+        F.when(check, 1).otherwise(0),
+        F.when(gazetteer, 1).otherwise(0),
+        first_that((left == "") | has(left, r"\n$"), has(left, r"[0-9a-z]$"), has(left, r"[\x20\x09]$"), has(left, r"[(\[<\"':=]$"), has(left, r"\|$")),
+        first_that((right == "") | has(right, r"^\n"), has(right, "^[0-9a-z]"), has(right, r"^[\x20\x09]"), has(right, r"^[.,;:!?)\]>\"']"), has(right, r"^\|")),
+        first_that(has(left, BEFORE[kind]), has(left, AGAINST), has(left, r"(?:^|[.!?\n])\s*$"), has(left, r"[0-9]\W*$"), has(left, r"[a-z]\W*$")),
+        first_that(has(right, r"^\W*$"), has(right, r"^\W*[0-9]"), has(right, r"^\W*[a-z]")),
+    ]
+
+
+def candidates_of(text: Column, k: int, base: bool, found: Column | None = None) -> Column:
+    """A kind's base candidates, or its loose ones that overlap none of found, the base ones of all kinds, of their own kind."""
     kind = KINDS[k]
+    meets = lambda x, y: (y["s"] < x["e"]) & (x["s"] < y["e"])
 
     def row(x: Column) -> Column:
-        size = F.when(F.length(x["hit"]) < 12, 0).when(F.length(x["hit"]) < 20, 1).otherwise(2)
-        key = F.concat_ws("|", F.lit(kind), *[v.cast("string") for v in votes(kind, base, x)], size.cast("string"))
-        return F.struct(F.lit(k).alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.lit(base).alias("base"), key.alias("key"))
+        taken = F.lit(False) if found is None else F.exists(found, lambda y: meets(x, y) & (y["k"] != k))
+
+        def told(c: Column) -> Column:
+            check, gazetteer = F.get(c, 0), F.get(c, 1)
+            seen = F.array(*votes(kind, base, x, check, gazetteer, taken), *looks(kind, x, check, gazetteer))
+            return let(seen, lambda v: F.struct(
+                F.lit(k).alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.lit(base).alias("base"),
+                F.concat_ws("|", F.lit(kind), F.transform(v, lambda n: n.cast("string"))).alias("key"), F.slice(v, len(LABELERS) + 1, len(FEATURES)).alias("f")))
+
+        return let(F.array(*checks(kind, base, x)), told)
 
     hits = occurrences(text, (BASE if base else LOOSE)[kind])
-    hits = F.filter(hits, lambda x: passes(kind, x["hit"])) if base else hits
+    if base:
+        hits = F.filter(hits, lambda x: passes(kind, x["hit"]))
+    else:
+        hits = F.filter(hits, lambda x: ~F.exists(found, lambda y: meets(x, y) & (y["k"] == k)) & ((F.length(digits(x["hit"])) >= 7) if kind in USUAL else F.lit(True)))
     return F.when(NEEDS[kind, base](text), F.transform(hits, row)).otherwise(F.array().cast(PATTERN_TYPE))
 
 
 def candidates(text: Column) -> Column:
-    """Array of (k, s, e, base, key) in order of kind, base first, start; key: kind, votes and size class."""
-    apart = lambda x, found: ~F.exists(found, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
-    both = lambda k: let(candidates_of(text, k, True), lambda b: F.concat(b, F.filter(candidates_of(text, k, False), lambda x: apart(x, b))))
-    return F.concat(*[both(k) for k in range(len(KINDS))])
+    """Array of (k, s, e, base, key, f); key: kind, votes and features; f: the features."""
+    base = F.concat(*[candidates_of(text, k, True) for k in range(len(KINDS))])
+    return let(base, lambda b: F.concat(b, *[candidates_of(text, k, False, b) for k in range(len(KINDS))]))
 
 
 @dataclass
 class SpanModel:
-    """Reliabilities by kind and labeler, and the keys that the classifier accepts."""
+    """Reliabilities by kind and labeler, probabilities of vote patterns, and each kind's weights by feature and value, the bias first."""
 
     reliability: dict[tuple[str, str], dict[int, tuple[float, float]]]
     probability: dict[str, float]
-    accepted: list[str]
+    weights: dict[str, list[list[float]]]
+
+    def accepts(self, k: Column, f: Column) -> Column:
+        """Whether the classifier of the candidate's kind takes it for personal data."""
+        out = F.lit(False)
+        for kind, (bias, *features) in self.weights.items():
+            score = F.lit(bias[0])
+            for i, values in enumerate(features):
+                score = score + F.coalesce(F.get(F.array(*[F.lit(v) for v in values]), F.get(f, i)), F.lit(0.0))
+            out = F.when(k == KINDS.index(kind), score > 0).otherwise(out)
+        return out
 
 
-def fit(counted: list[tuple[str, int]], rounds: int = 50, threshold: float = 0.5) -> SpanModel:
-    """counted: (key, how many candidates)."""
+def estimate(counted: dict[str, int], rounds: int = 50) -> tuple[dict, dict[str, float]]:
+    """Reliabilities and probabilities from how many candidates have each vote pattern (kind|votes)."""
     reliability, posterior = {}, {}
     for kind in KINDS:
-        rows = [(key, n, [int(v) for v in key.split("|")[1:6]]) for key, n in sorted(counted) if key.startswith(kind + "|")]
+        rows = [(key, n, [int(v) for v in key.split("|")[1:]]) for key, n in sorted(counted.items()) if key.startswith(kind + "|")]
         if not rows:
             continue
         weight = np.array([n for _, n, _ in rows], float)
@@ -194,39 +263,51 @@ def fit(counted: list[tuple[str, int]], rounds: int = 50, threshold: float = 0.5
                 reliability[kind, labeler] = rates
             p = 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
         posterior.update({key: float(q) for (key, _, _), q in zip(rows, p, strict=True)})
-    if not posterior:
-        return SpanModel({}, {}, [])
-    keys = sorted(posterior)
-    names = sorted({f"{key.split('|')[0]}.{i}.{v}" for key in keys for i, v in enumerate(key.split("|")[1:])})
-    at = {n: i for i, n in enumerate(names)}
-    x = np.zeros((len(keys), len(names) + 1))
-    x[:, -1] = 1
-    for r, key in enumerate(keys):
-        kind, *values = key.split("|")
-        for i, v in enumerate(values):
-            x[r, at[f"{kind}.{i}.{v}"]] = 1
-    sizes = dict(counted)
-    w = np.log1p([sizes[k] for k in keys])
-    w, target, theta = w / w.sum(), np.array([posterior[k] for k in keys]), np.zeros(x.shape[1])
-    for _ in range(2000):
-        q = 1 / (1 + np.exp(-x @ theta))
-        theta += 2.0 * (x.T @ (w * (target - q)) - 1e-4 * theta)
-    q = 1 / (1 + np.exp(-x @ theta))
-    return SpanModel(reliability, posterior, [k for k, v in zip(keys, q.tolist(), strict=True) if v >= threshold])
+    return reliability, posterior
+
+
+def of_votes(key: str) -> str:
+    return "|".join(key.split("|")[: 1 + len(LABELERS)])
+
+
+def train(sample: dict[str, int], posterior: dict[str, float], l2: float = 0.05, rounds: int = 25) -> dict[str, list[list[float]]]:
+    """Each kind's classifier: logistic, by Newton's method, on the probabilities of the sampled patterns' votes."""
+    out = {}
+    for kind in KINDS:
+        keys = sorted(k for k in sample if k.startswith(kind + "|"))
+        if not keys:
+            continue
+        values = np.array([[int(v) for v in key.split("|")[1 + len(LABELERS) :]] for key in keys])
+        sizes = values.max(0) + 1
+        starts = np.concatenate([[1], 1 + np.cumsum(sizes)])
+        x = np.zeros((len(keys), starts[-1]))
+        x[:, 0] = 1
+        for i in range(values.shape[1]):
+            x[np.arange(len(keys)), starts[i] + values[:, i]] = 1
+        w = np.log1p([sample[k] for k in keys])
+        target, theta = np.array([posterior[of_votes(k)] for k in keys]), np.zeros(x.shape[1])
+        for _ in range(rounds):
+            q = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+            theta += np.linalg.solve((x.T * (w * q * (1 - q))) @ x + l2 * np.eye(len(theta)), x.T @ (w * (target - q)) - l2 * theta)
+        out[kind] = [[float(theta[0])], *([float(v) for v in theta[starts[i] : starts[i + 1]]] for i in range(values.shape[1]))]
+    return out
+
+
+def fit(found: DataFrame, sample_patterns: int = SAMPLE_PATTERNS) -> SpanModel:
+    """The model of the candidates found (spans): all are counted, vote patterns whole, the most frequent patterns of votes and features as a sample."""
+    counted = stored(found.select(F.explode("spans.key").alias("key")).groupBy("key").count(), "pii-patterns")
+    votes = F.substring_index("key", "|", 1 + len(LABELERS)).alias("votes")
+    by_votes = {r.votes: r.n for r in counted.groupBy(votes).agg(F.sum("count").alias("n")).collect()}
+    sample = {r.key: r["count"] for r in counted.orderBy(F.desc("count"), "key").limit(sample_patterns).collect()}
+    reliability, posterior = estimate(by_votes)
+    return SpanModel(reliability, posterior, train(sample, posterior))
 
 
 def find_spans(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, SpanModel]:
     """Rows with the kept columns and spans: array of (k, s, e, base), in order of kind and start."""
     found = stored(docs.select(*keep, candidates(F.coalesce(F.col("text"), F.lit(""))).alias("spans")), "pii")
-    counted: list[Row] = found.select(F.explode("spans.key").alias("key")).groupBy("key").count().collect()
-    model = fit([(r[0], r[1]) for r in counted])
-    accepted = [F.lit(k) for k in model.accepted]
-
-    def chosen(x: Column) -> Column:
-        fits = x["key"].isin(*accepted) if accepted else F.lit(False)
-        return x["base"] | fits
-
-    picked = F.filter("spans", chosen)
+    model = fit(found)
+    picked = F.filter("spans", lambda x: x["base"] | model.accepts(x["k"], x["f"]))
     ordered = F.sort_array(F.transform(picked, lambda x: F.struct(x["k"], x["s"], x["e"], x["base"])))
     return found.withColumn("spans", ordered), model
 
@@ -251,11 +332,40 @@ def redact(docs: DataFrame) -> DataFrame:
     return out.select(*docs.columns)
 
 
-def op5_pii(spark, sf_dir):
-    spans, _ = find_spans(table(spark, sf_dir, "documents"), ["doc_id"])
+def digests(spans: DataFrame) -> DataFrame:
+    """(doc_id, n_<kind>, base_sha256, spans) of rows with spans."""
     names = F.array(*[F.lit(k) for k in KINDS])
     said = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
     base = F.filter("spans", lambda x: x["base"])
     n_base = lambda k: F.size(F.filter("spans", lambda x: x["base"] & (x["k"] == k))).cast("long")
     counts = [n_base(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return spans.select("doc_id", *counts, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
+def op5_pii(spark, sf_dir):
+    return digests(find_spans(table(spark, sf_dir, "documents"), ["doc_id"])[0])
+
+
+def pii_base(spark, sf_dir):
+    """op5_pii without the method's spans, which SQL can't find."""
+    return op5_pii(spark, sf_dir).drop("spans")
+
+
+BASE_SQL = r"""
+with t as (select doc_id, coalesce(text, '') as txt from documents),
+p(k, kind) as (values (0, 'email'), (1, 'ip'), (2, 'card'), (3, 'phone')),
+m as (select doc_id, 0 as k, regexp_extract_all(txt, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') as hits, string_split_regex(txt, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') as gaps from t
+  union all select doc_id, 1, regexp_extract_all(txt, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'), string_split_regex(txt, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+') from t
+  union all select doc_id, 2, regexp_extract_all(txt, '[0-9](?:[\x20-]?[0-9])+'), string_split_regex(txt, '[0-9](?:[\x20-]?[0-9])+') from t
+  union all select doc_id, 3, regexp_extract_all(txt, '\+[0-9][\x20().0-9-]+[0-9]'), string_split_regex(txt, '\+[0-9][\x20().0-9-]+[0-9]') from t),
+x as (select doc_id, k, hits, gaps, unnest(range(1, len(hits) + 1)) as i from m where len(hits) > 0),
+h as (select doc_id, k, hits[i] as hit, length(array_to_string(gaps[1:i], '')) + length(array_to_string(hits[1:i - 1], '')) as s, regexp_replace(hits[i], '[^0-9]', '', 'g') as d from x),
+f as (select * from h where case k when 0 then true when 1 then len(list_filter(string_split(hit, '.'), lambda y: try_cast(y as double) > 255)) = 0
+  when 2 then length(d) between 16 and 19 and list_sum(list_transform(range(1, length(d) + 1), lambda j: case when j % 2 = 1 then cast(d[length(d) - j + 1] as int)
+    else cast(d[length(d) - j + 1] as int) * 2 - case when cast(d[length(d) - j + 1] as int) > 4 then 9 else 0 end end)) % 10 = 0
+  else length(d) between 8 and 15 end),
+g as (select doc_id, count(*) filter (where k = 0) as n_email, count(*) filter (where k = 1) as n_ip, count(*) filter (where k = 2) as n_card, count(*) filter (where k = 3) as n_phone,
+  string_agg(kind || ':' || s || ':' || (s + length(hit)), ',' order by k, s) as said from f join p using (k) group by 1)
+select t.doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone, sha256(coalesce(said, '')) as base_sha256
+from t left join g using (doc_id)
+"""

@@ -12,6 +12,7 @@ QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_url_filters": url_filters.op4_url_filters,
     "op5_pii": pii.op5_pii,
+    "pii_base": pii.pii_base,
     "op6_html_extraction": html_extraction.op6_html_extraction,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_decontamination": decontamination.op8_decontamination,
@@ -24,6 +25,7 @@ ORACLES = {
     "op2_warc": warc.SQL,
     "op3_quality_rules": quality_rules.SQL,
     "op4_url_filters": url_filters.SQL,
+    "pii_base": pii.BASE_SQL,
     "op8_decontamination": decontamination.SQL,
     "op9_mixing": mixing.SQL,
 }

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, table
+from .common import lower_ascii, stored, table
 
 RULES = [
     ("allow", "org", "/"),
@@ -106,28 +106,48 @@ def sweep(hosts: DataFrame, rules: DataFrame, cell_rows: int = 50_000) -> DataFr
     )
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
-    """Adds host, path, rule and verdict to rows with a ``url``; rules: (verdict, host, path)."""
+def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", hot_rows: int = 1_000_000) -> DataFrame:
+    """Adds host, path, rule and verdict to rows with a ``url``; rules: (verdict, host, path).
+
+    Hosts of at least hot_rows rows, of which there can't be many, get their rules by broadcast (of a measured
+    size); rows of other hosts are joined by host. Rows without a host, or with a hot one, are spread by their url.
+    """
     clash = [c for c in ("host", "path", "rule", "verdict") if c in pages.columns]
     urls = pages.drop(*clash).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    hosts = urls.select("host").where(F.col("host") != "").distinct()
-    fits = F.filter("active", lambda r: F.startswith(F.col("path"), r["path"]))
+    hosts = urls.select("host").where(F.col("host") != "").groupBy("host").agg(F.count("*").alias("_rows"))
+    hosts = stored(hosts, "hosts")
+    swept = stored(sweep(hosts.select("host"), rules), "swept").join(hosts, "host")
+    hot = stored(hosts.where(F.col("_rows") >= hot_rows).select("host").join(swept, "host", "left").select("host", "active"), "hot")
+    # a hot host's few rules are measured as text
+    size = hot.agg(F.sum(F.octet_length("host") + F.coalesce(F.length(F.to_json("active")), F.lit(0)))).first()[0] or 0
+    cold = swept.where(F.col("_rows") < hot_rows).select(F.col("host").alias("_host"), "active")
+    if size > 32 << 20:  # then none is treated apart
+        hot, cold = hot.limit(0), swept.select(F.col("host").alias("_host"), "active")
+    found = urls.join(F.broadcast(hot.select("host", F.col("active").alias("_hot"), F.lit(True).alias("_is_hot"))), "host", "left")
+    apart = (F.col("host") == "") | F.coalesce("_is_hot", F.lit(False))
+    found = found.withColumns({"_apart": apart, "_key": F.when(apart, F.xxhash64("url").cast("string")).otherwise(F.col("host"))})
+    found = found.join(cold.withColumn("_cold", F.lit(False)), (F.col("_key") == F.col("_host")) & (F.col("_apart") == F.col("_cold")), "left")
+    fits = F.filter(F.coalesce("active", "_hot"), lambda r: F.startswith(F.col("path"), r["path"]))
     ranked = F.transform(
         fits, lambda r: F.struct(
             F.length(F.concat(r["host"], r["path"])).alias("n"), r["verdict"].alias("verdict"),
             F.concat(r["host"], r["path"]).alias("rule")),
     )
     return (
-        urls.join(sweep(hosts, rules), "host", "left")
-        .withColumn("_won", F.array_max(ranked))
+        found.withColumn("_won", F.array_max(ranked))
         .withColumns({"rule": F.col("_won.rule"), "verdict": F.coalesce(F.col("_won.verdict"), F.lit(default))})
-        .drop("active", "_won")
+        .select(*[c for c in pages.columns if c not in clash], "host", "path", "rule", "verdict")
     )
 
 
+def rule_table(spark, rules=RULES) -> DataFrame:
+    """Rules (verdict, host, path) as literals of the plan."""
+    return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("verdict", "host", "path"), r, strict=True)]) for r in rules])))
+
+
 def op4_url_filters(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
+    rules = rule_table(spark)
     return filter_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
