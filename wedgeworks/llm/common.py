@@ -44,13 +44,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Removes a table that no later plan reads."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+def discard(*tables: DataFrame | None) -> None:
+    """Removes stored tables that no later plan reads; others are left alone."""
+    for df in tables:
+        if path := getattr(df, "_stored_at", None):
+            hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, bounded_broadcast, stored, table
+from .common import bounded_batches, bounded_broadcast, discard, stored, table
 from .components import components, joined
 from .decontamination import shingle_codes, words_of
 
@@ -315,9 +315,10 @@ def classified(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     buckets = stored(keyed.join(shared, "key"), "buckets")
     hubs = buckets.groupBy("v").agg(F.sum("size").alias("hub"))
-    buckets = stored(buckets.join(hubs.join(nodes.select("v", "sketch"), "v"), "v"), "hubs")
+    hubbed = stored(buckets.join(hubs.join(nodes.select("v", "sketch"), "v"), "v"), "hubs")
     texts = stored(texts_of(docs, nodes.join(hubs, "v").select("v", "text_id", "tag")), "texts")
     classes = tested = None
+    scratch = [buckets, hubbed, texts]
 
     def close(n: str, sketch: str, m: str, other: str) -> Column:
         sizes = F.least(n, m) >= F.greatest(n, m) * F.lit(threshold)
@@ -325,9 +326,9 @@ def classified(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     for r in range(3):
         if r == 0:
-            here = buckets.withColumn("c", F.col("v"))
+            here = hubbed.withColumn("c", F.col("v"))
         else:
-            here = buckets.join(classes, "v", "left").withColumn("c", F.coalesce("c", "v"))
+            here = hubbed.join(classes, "v", "left").withColumn("c", F.coalesce("c", "v"))
             several = here.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
             here = stored(here.join(several, "key"), "mixed")
         if r < 2:  # one pivot of each bucket; then one of each slot
@@ -343,22 +344,26 @@ def classified(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             pairs = pairs.join(tested, ["v", "w"], "left_anti")
         pairs = stored(pairs, "pairs")
         found = stored(verify(pairs, texts, threshold), "links")
+        scratch += [pairs, found, here]
         both = pairs.unionByName(pairs.select(F.col("w").alias("v"), F.col("v").alias("w")))
         tested = both if tested is None else tested.unionByName(both)
         if r == 0:
             classes = components(found)
         elif not found.isEmpty():
             classes = joined(classes, found)
-    here = buckets.where(F.col("size") > SMALL_BUCKET).select("key", "v", "n").join(classes, "v", "left").withColumn("c", F.coalesce("c", "v"))
+    here = hubbed.where(F.col("size") > SMALL_BUCKET).select("key", "v", "n").join(classes, "v", "left").withColumn("c", F.coalesce("c", "v"))
     several = here.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
     here = stored(here.join(several, "key"), "mixed")
+    scratch += [here]
     if not here.isEmpty():
         found = stored(finish(here, texts, threshold), "links")
+        scratch += [found]
         if not found.isEmpty():
             classes = joined(classes, found)
     placed = nodes.select("v", "digest", "text_id", "tag").join(classes, "v", "left").withColumn("c", F.coalesce("c", "v"))
     stands = F.min(F.struct(F.col("text_id").isNull().alias("none"), F.col("text_id").alias("doc_id"), "digest", "tag")).alias("stands")
     named = stored(placed.join(placed.groupBy("c").agg(stands), "c"), "classes")
+    discard(nodes, classes, *scratch)
     own = prints.select("doc_id", "tag", "digest").join(named.select("digest", "text_id", "stands"), "digest")
     kept = (F.col("digest") == F.col("stands.digest")) & F.col("doc_id").eqNullSafe(F.col("stands.doc_id"))
     return own.select("doc_id", "tag", "text_id", F.col("stands.doc_id").alias("class_id"), kept.alias("kept"))
