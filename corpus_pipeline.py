@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wedgeworks.llm.common import stored, table
+from wedgeworks.llm.common import discard, stored, table
 from wedgeworks.llm.decontamination import drop_contaminated
 from wedgeworks.llm.mixing import mix
 from wedgeworks.llm.near_dedup import keep_one
@@ -56,5 +56,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        done = stored(stage(spark, docs, sf_dir), name)
+        discard(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
