@@ -1,11 +1,13 @@
 import itertools
+import os
 import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from wedgeworks.llm.quality_crf import chain, line_features, remainder, score, train
+from wedgeworks.llm.quality_crf import chain, fit, line_features, remainder, score, train, with_neighbours
 
 
 def test_forward_backward_against_enumeration():
@@ -51,3 +53,28 @@ def test_learns_from_its_fold_and_scores_every_row(spark):
     assert train(docs, labels.where("quality = 1")).score(*line_features("a"), np.array([1]))[0] == 1.0
     assert train(docs, labels.limit(0)).prior == 0.5
     assert score(docs.limit(0), field).count() == 0
+
+
+def test_lines_of_both_kinds_in_one_document():
+    """The marginals change where the quality does, and the score is the good lines' share by length."""
+    rng = random.Random(5)
+    field = fit([(int(k), line_features(doc(rng, k))[0]) for k in (i % 2 == 0 for i in range(200))])
+    good, bad = "\n".join(doc(rng, True) for _ in range(4)), "\n".join(doc(rng, False) for _ in range(4))
+    x, sizes = line_features(good + "\n" + bad)
+    n = len(line_features(good)[0])
+    starts = np.array([0, len(x)])
+    p = field.marginals(with_neighbours((x - field.mean) / field.scale, starts) @ field.weights, starts)
+    assert (p[: n - 1] > 0.5).all() and (p[n + 1 :] < 0.5).all()
+    assert abs(field.score(x, sizes, np.array([len(x)]))[0] - sizes[:n].sum() / sizes.sum()) < 0.12
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the labelled tables")
+def test_held_out_accuracy_of_the_query(spark):
+    from wedgeworks.llm.quality_crf import op10_quality_crf
+
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("quality is not null")
+    rows = op10_quality_crf(spark, sf).where("held_out").join(labels, "doc_id").select("score", "predicted", "quality").collect()
+    good, bad = [r.score for r in rows if r.quality == 1], [r.score for r in rows if r.quality == 0]
+    assert len(good) > 20 and len(bad) > 3
+    assert np.mean([a > b for a in good for b in bad]) > 0.97 and np.mean([r.predicted == r.quality for r in rows]) > 0.95
