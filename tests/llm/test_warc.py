@@ -1,4 +1,6 @@
 import hashlib
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,6 +36,8 @@ def test_records_and_payloads(spark, tmp_path):
     assert sorted(hashlib.sha256(r.payload).hexdigest() for r in full) == sorted(x[2] for x in want)
     assert spark.read.parquet(path + "/payloads").count() == len({x[2] for x in want})
     assert all(b"\r\nX: y" not in r.header for r in full)
+    ids = [re.search(rb"WARC-Record-ID: (\S+)", r.header)[1] for r in full]
+    assert len(set(ids)) == len(ids) and {re.search(rb"WARC-Refers-To: (\S+)", r.header)[1] for r in full if b"WARC-Refers-To:" in r.header} <= set(ids)
 
 
 @pytest.mark.parametrize("compression", ["none", "gzip"])
@@ -45,6 +49,18 @@ def test_files_come_back_byte_for_byte(spark, tmp_path, compression):
     assert got == want
 
 
+def test_payloads_that_are_no_text(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [(i, "u", bytearray(rng.randbytes(rng.randint(0, 400)))) for i in range(40)] + [(90, "u", bytearray(b"\xff\x00\r\n\r\n\n" * 40)), (91, "u", bytearray(b"\xff\x00\r\n\r\n\n" * 40)), (92, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html binary")
+    warc.write_archive(pages, str(tmp_path / "a"))
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type) for r in warc.verified(spark, str(tmp_path / "a")).collect()}
+    assert got == {i: (len(b or b""), hashlib.sha256(b or b"").hexdigest(), "revisit" if i == 91 else "response") for i, _, b in rows}
+    warc.export_warc(spark, str(tmp_path / "a"), str(tmp_path / "out"), max_records=7)
+    back = sorted((bytes(r.header), bytes(r.payload)) for r in warc.import_warc(spark, str(tmp_path / "out")).collect())
+    assert back == sorted((bytes(r.header), bytes(r.payload or b"")) for r in warc.read_records(spark, str(tmp_path / "a")).collect())
+
+
 def test_damage_is_found(spark, tmp_path):
     path = archive(spark, tmp_path)
     stored = spark.read.parquet(path + "/payloads")

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import new_path, table
@@ -51,19 +52,22 @@ def write_archive(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z
         "digest", "n", "payload", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url")
     ).write.parquet(f"{path}/payloads")
     firsts = spark.read.parquet(f"{path}/payloads").select("digest", "n", "first_id", "first_url")
-    named = keyed.drop("payload").join(firsts, ["digest", "n"])
+    # rows that are equal in all are numbered, so that each record has an id of its own
+    twin = W.partitionBy("digest", "n", "page_id", "url").orderBy(F.lit(0))
+    named = keyed.drop("payload").join(firsts, ["digest", "n"]).withColumn("twin", F.row_number().over(twin))
+    own = F.when(F.col("twin") > 1, F.col("twin"))
     revisit = (F.col("n") >= revisit_from) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n"), F.lit(CRLF * 2))
     block = F.when(revisit, 0).otherwise(F.length(http) + F.col("n"))
     warc = F.concat(
         F.lit(f"WARC/1.1{CRLF}WARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
-        F.lit(f"{CRLF}WARC-Record-ID: "), _uuid(F.col("page_id"), F.col("url"), F.col("digest")),
+        F.lit(f"{CRLF}WARC-Record-ID: "), _uuid(F.col("page_id"), F.col("url"), F.col("digest"), own),
         F.lit(f"{CRLF}WARC-Date: {date}{CRLF}WARC-Target-URI: "), _uri(F.col("url")),
         F.lit(f"{CRLF}WARC-Payload-Digest: sha256:"), F.col("digest"),
         F.lit(f"{CRLF}X-Record-Key: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")),
         F.lit(f"{CRLF}X-Payload-Length: "), F.col("n"),
         F.when(revisit, F.concat(
-            F.lit(f"{CRLF}WARC-Profile: {PROFILE}{CRLF}WARC-Refers-To: "), _uuid(F.col("first_id"), F.col("first_url"), F.col("digest")),
+            F.lit(f"{CRLF}WARC-Profile: {PROFILE}{CRLF}WARC-Refers-To: "), _uuid(F.col("first_id"), F.col("first_url"), F.col("digest"), F.lit(None)),
             F.lit(f"{CRLF}WARC-Refers-To-Target-URI: "), _uri(F.col("first_url")),
             F.lit(f"{CRLF}X-Refers-To-Key: "), F.coalesce(F.col("first_id").cast("string"), F.lit("")),
         )).otherwise(F.lit(f"{CRLF}Content-Type: application/http;msgtype=response")),
