@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored, table
+from .common import bounded_batches, discard, stored, table
 
 #: A-Z to a-z, other ASCII but 0-9 and a-z to blanks, bytes of other characters kept.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -155,7 +155,9 @@ def indexes(docs: DataFrame, items: DataFrame, width: int, block_bytes: int, chu
     for b in range(blocks):
         mine = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == b)
         index = WindowIndex([(r.item, bytes(r.body)) for r in mine.collect()], width)
-        index.choose(shingle_counts(docs, spark.sparkContext.broadcast(index), chunk))
+        counting = spark.sparkContext.broadcast(index)
+        index.choose(shingle_counts(docs, counting, chunk))
+        counting.destroy()
         yield spark.sparkContext.broadcast(index), b == blocks - 1
 
 
@@ -175,6 +177,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, width: int = 10, block
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("body")).withColumns(
         {"hits": F.lit(None).cast("array<bigint>"), "items": F.lit(None).cast("array<string>")}
     )
+    last = None
     for index, final in indexes(docs, items, width, block_bytes, chunk):
 
         def searched(batches: Iterator[pa.RecordBatch], index=index, final=final) -> Iterator[pa.RecordBatch]:
@@ -195,12 +198,16 @@ def find_contamination(docs: DataFrame, items: DataFrame, width: int = 10, block
         rows = rows.mapInArrow(searched, f"doc_id {id_type}, n_words bigint, n_hit bigint, {STATE}" if final else f"doc_id {id_type}, body binary, {STATE}")
         if not final:
             rows = stored(rows, "decontamination")
+            index.destroy()
+            discard(last)
+            last = rows
     return rows
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 10, block_bytes: int = 8 << 20, chunk: int = 2_000_000) -> DataFrame:
     """The rows of docs, whole, in whose text no window occurs."""
     at = docs.columns.index("text")
+    last = None
     for index, final in indexes(docs, items, width, block_bytes, chunk):
 
         def passed(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
@@ -211,6 +218,9 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 10, block_
         docs = docs.mapInArrow(passed, docs.schema)
         if not final:
             docs = stored(docs, "decontamination")
+            index.destroy()
+            discard(last)
+            last = docs
     return docs
 
 
