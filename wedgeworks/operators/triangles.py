@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import common, search_steps
+from ..sources.scratch import is_kept
 
+#: Edges whose lists may be broadcast: 16 MB of ids.
+SMALL_GRAPH = 2_000_000
 #: Elements of the longest neighbour list that a row may hold where the order sets no bound.
 LONGEST = 100_000
 
@@ -24,11 +27,14 @@ def adjacency(o: DataFrame) -> DataFrame:
 def edge_lists(o: DataFrame, how: str = "inner") -> DataFrame:
     """(src, dst, na, nb) for edges whose ends both have neighbours (P14); with how="left" for all edges.
 
-    The source's list travels with its exploded edges, so only the target's list is joined.
+    The source's list travels with its exploded edges, so only the target's list is joined. If o is a kept
+    table of at most SMALL_GRAPH edges by its own count, the lists are broadcast and no edge travels at all.
     """
     adj = adjacency(o)
     edges = adj.select("src", F.explode("nbrs").alias("dst"), F.col("nbrs").alias("na"))
-    return edges.join(adj.select(F.col("src").alias("dst"), F.col("nbrs").alias("nb")), "dst", how)
+    lists = adj.select(F.col("src").alias("dst"), F.col("nbrs").alias("nb"))
+    small = is_kept(o) and o.count() <= SMALL_GRAPH
+    return edges.join(F.broadcast(lists) if small else lists, "dst", how)
 
 
 def count_array(o: DataFrame) -> DataFrame:
@@ -37,9 +43,8 @@ def count_array(o: DataFrame) -> DataFrame:
 
 
 def closed_edges(o: DataFrame) -> DataFrame:
-    """(src, dst, thirds): edges on a triangle that their ends' lists close, with the third corners."""
-    lists = edge_lists(o).where(F.arrays_overlap("na", "nb"))
-    return lists.select("src", "dst", F.array_intersect("na", "nb").alias("thirds"))
+    """(src, dst, thirds): edges whose ends both have neighbours, with the third corners of the triangles that their lists close; may be empty."""
+    return edge_lists(o).select("src", "dst", F.array_intersect("na", "nb").alias("thirds"))
 
 
 def list_triangles(o: DataFrame) -> DataFrame:
@@ -118,14 +123,15 @@ def vertex_triangles(o: DataFrame) -> DataFrame:
     n = F.size("thirds").cast("long").alias("n")
     ends = F.array(F.struct(F.col("src").alias("v"), n), F.struct(F.col("dst").alias("v"), n))
     credits = closed_edges(o).select(F.inline(F.concat(ends, F.transform("thirds", lambda c: F.struct(c.alias("v"), one)))))
-    return credits.groupBy("v").agg(F.sum("n").alias("n_triangles"))
+    return credits.groupBy("v").agg(F.sum("n").alias("n_triangles")).where("n_triangles > 0")
 
 
 def triangle_edges(o: DataFrame) -> DataFrame:
     """One row, n_edges: directed edges with a common neighbour, twice the undirected ones.
 
-    An edge whose ends' lists overlap is on a triangle (the test stops at the first match); the other two
-    sides are marked from the intersection. Marks meet in the tasks that make them; only distinct ones travel.
+    An edge's intersection marks the edge and its triangles' other two sides. Marks meet in the tasks that make
+    them; only distinct ones travel. An edge alone could stop at its first match, but its other matches are the
+    other sides' marks.
     """
     third = closed_edges(o).select("src", "dst", F.explode("thirds").alias("c"))
     side = lambda x, y: F.struct(F.col(x).alias("src"), F.col(y).alias("dst"))

@@ -23,7 +23,14 @@ def kept(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes a table and reads it back, which cuts lineage and outlives executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def is_kept(df: DataFrame) -> bool:
+    """Whether a table is one that kept() wrote, so that counting it costs next to nothing."""
+    return getattr(df, "_kept_at", None) is not None
 
 
 def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
