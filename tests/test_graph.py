@@ -302,3 +302,18 @@ def test_betweenness_adds_up_all_sources(spark):
                 want[w] += delta[w]
     got = {r.v: r.bc for r in QUERIES["betweenness_sample"](spark, SF).collect()}
     assert got.keys() == near.keys() and all(abs(got[v] - want[v]) < 1e-4 for v in near)
+
+
+@pytest.mark.parametrize("name", ["betweenness_sample_sparse"])
+def test_search_queries_stop_where_their_twins_do(spark, tmp_path, name):
+    import duckdb
+
+    from wedgeworks.plans.catalog import DEPTH, ORACLES, QUERIES
+
+    n = DEPTH + 4  # a path of parts, an order for each edge
+    items = [(8 * i, i + j, j + 1) for i in range(n) for j in (0, 1)]
+    path = f"{tmp_path}/lineitem.parquet"
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_linenumber int").coalesce(1).write.parquet(path)
+    want = duckdb.connect()
+    want.execute(f"create view lineitem as select * from '{path}/*.parquet'")
+    assert rows(QUERIES[name](spark, str(tmp_path))) == sorted(want.execute(ORACLES[name]).fetchall())

@@ -49,10 +49,13 @@ def levels(u: DataFrame, sources: DataFrame, max_level: int | None = None, symme
     return out.select("s", "v", "level", "sigma")
 
 
-def betweenness(u: DataFrame, sources: DataFrame) -> DataFrame:
-    """(v, bc): dependencies summed over the sources, deepest level first (A14); u is symmetric."""
+def betweenness(u: DataFrame, sources: DataFrame, max_level: int | None = None) -> DataFrame:
+    """(v, bc): dependencies summed over the sources, deepest level first (A14); u is symmetric.
+
+    max_level: of paths of at most that length.
+    """
     edges = bucketed(u.select("src", "dst"), "edges", "src")
-    frontiers = _search(edges, sources, None, True)
+    frontiers = _search(edges, sources, max_level, True)
     done = below = frontiers[-1].withColumn("delta", F.lit(0.0))
     for f in reversed(frontiers[:-1]):
         # what a vertex below hands up goes along its edges to all neighbours; those of the level above keep it
