@@ -317,3 +317,15 @@ def test_search_queries_stop_where_their_twins_do(spark, tmp_path, name):
     want = duckdb.connect()
     want.execute(f"create view lineitem as select * from '{path}/*.parquet'")
     assert rows(QUERIES[name](spark, str(tmp_path))) == sorted(want.execute(ORACLES[name]).fetchall())
+
+
+def test_blocks_of_lists_lose_nothing(spark, monkeypatch):
+    """Graphs of several blocks: lists and closing edges are broadcast a block at a time."""
+    monkeypatch.setattr(triangles, "SMALL_GRAPH", 30)
+    raw = random_graph(5)
+    _, want = brute(raw)
+    pairs = build.undirected(frame(spark, raw))
+    o = orient.by_degree(pairs)
+    assert triangles.kept_lists(o)[1] > 1
+    support = {(min(a, b), max(a, b)): n for a, b, n in triangles.edge_support(o).collect()}
+    assert support == {tuple(e): sum(set(e) <= set(t) for t in want) for e in pairs.collect()}

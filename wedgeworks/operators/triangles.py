@@ -7,11 +7,13 @@ offers for the intersection (merge, binary search, pivots, heaps) are one operat
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import common, search_steps
-from ..sources.scratch import is_kept
+from ..sources.scratch import is_kept, kept, scratch_path
 
 #: Edges whose lists may be broadcast: 16 MB of ids.
 SMALL_GRAPH = 2_000_000
@@ -37,14 +39,52 @@ def edge_lists(o: DataFrame, how: str = "inner") -> DataFrame:
     return edges.join(F.broadcast(lists) if small else lists, "dst", how)
 
 
+def kept_lists(o: DataFrame) -> tuple[DataFrame, int]:
+    """adjacency, written once, and into how many blocks of about SMALL_GRAPH edges its lists are to be dealt."""
+    lists = kept(adjacency(o), "lists")
+    n = lists.agg(F.sum(F.size("nbrs").cast("long"))).first()[0] or 0
+    return lists, max(1, -(-n // SMALL_GRAPH))
+
+
+def by_blocks(edges: DataFrame, key: str, targets: DataFrame, blocks: int, take: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What take makes of edges joined to targets, a written table; targets' rows are broadcast in blocks, by a hash of key.
+
+    Every block is a pass over edges, which are read and not shuffled: the disk that a pass needs is its result.
+    """
+    block = F.pmod(F.xxhash64(key), F.lit(blocks))
+    path = scratch_path(edges.sparkSession, "blocks")
+    for b in range(blocks):
+        out = take(edges.where(block == b).join(F.broadcast(targets.where(block == b)), key))
+        out.write.mode("append").parquet(path)
+    return edges.sparkSession.read.schema(out.schema).parquet(path)
+
+
+def over_lists(o: DataFrame, take: Callable[[DataFrame], DataFrame], lists: tuple[DataFrame, int] | None = None) -> DataFrame:
+    """What take makes of (src, dst, na, nb), the rows of edge_lists, block by block of the targets' lists."""
+    adj, blocks = lists or kept_lists(o)
+    edges = adj.select("src", F.explode("nbrs").alias("dst"), F.col("nbrs").alias("na"))
+    return by_blocks(edges, "dst", adj.select(F.col("src").alias("dst"), F.col("nbrs").alias("nb")), blocks, take)
+
+
+def total(counts: DataFrame) -> DataFrame:
+    """One row, n_triangles, of counts (n)."""
+    return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_triangles"))
+
+
+def is_small(o: DataFrame) -> bool:
+    return is_kept(o) and o.count() <= SMALL_GRAPH
+
+
 def count_array(o: DataFrame) -> DataFrame:
     """One row, n_triangles."""
-    return edge_lists(o).agg(F.coalesce(F.sum(common("na", "nb")), F.lit(0)).cast("long").alias("n_triangles"))
+    count = lambda t: t.agg(F.sum(common("na", "nb")).alias("n"))
+    return total(count(edge_lists(o)) if is_small(o) else over_lists(o, count))
 
 
-def closed_edges(o: DataFrame) -> DataFrame:
-    """(src, dst, thirds): edges whose ends both have neighbours, with the third corners of the triangles that their lists close; may be empty."""
-    return edge_lists(o).select("src", "dst", F.array_intersect("na", "nb").alias("thirds"))
+def closed_edges(o: DataFrame, lists: tuple[DataFrame, int] | None = None) -> DataFrame:
+    """(src, dst, thirds): edges with the third corners of the triangles that their ends' lists close; may be empty."""
+    closed = lambda t: t.select("src", "dst", F.array_intersect("na", "nb").alias("thirds"))
+    return closed(edge_lists(o)) if is_small(o) else over_lists(o, lambda t: closed(t).where(F.size("thirds") > 0), lists)
 
 
 def list_triangles(o: DataFrame) -> DataFrame:
@@ -103,13 +143,18 @@ def count_hybrid(o: DataFrame, limit: int = 256) -> DataFrame:
 
 
 def edge_support(o: DataFrame) -> DataFrame:
-    """(src, dst, support): triangles on each oriented edge (A5): its own intersection, and one for each intersection that it is a side of."""
-    t = closed_edges(o)
-    own = t.select("src", "dst", F.size("thirds").cast("long").alias("n"))
-    third = t.select("src", "dst", F.explode("thirds").alias("c"))
-    sides = third.select(F.explode(F.array(F.struct("src", F.col("c").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("c").alias("dst")))).alias("e")).select("e.*", F.lit(1).cast("long").alias("n"))
-    none = o.select("src", "dst", F.lit(0).cast("long").alias("n"))
-    return none.unionByName(own).unionByName(sides).groupBy("src", "dst").agg(F.sum("n").alias("support"))
+    """(src, dst, support): triangles on each oriented edge (A5): its own intersection, and one for each intersection that it is a side of.
+
+    An intersection travels whole to each end of its edge, where its credits are made and added up.
+    """
+    adj, blocks = kept_lists(o)
+    t = closed_edges(o, (adj, blocks))
+    to = lambda v, d, to, n: [F.col(v).alias("src"), d.alias("d"), F.col(to).alias("to"), F.lit(n).cast("long").alias("n")]
+    none = F.lit(None).cast("long")
+    sent = adj.select(*to("src", none, "nbrs", 0)).unionByName(t.select(*to("src", F.col("dst"), "thirds", 1))).unionByName(t.select(*to("dst", none, "thirds", 1)))
+    own = F.struct(F.col("d").alias("dst"), F.size("to").cast("long").alias("n"))
+    credits = F.concat(F.when(F.col("d").isNull(), F.array().cast("array<struct<dst:bigint,n:bigint>>")).otherwise(F.array(own)), F.transform("to", lambda c: F.struct(c.alias("dst"), F.col("n").alias("n"))))
+    return sent.repartition("src").select("src", F.inline(credits)).groupBy("src", "dst").agg(F.sum("n").alias("support"))
 
 
 def source_credit(o: DataFrame) -> DataFrame:
