@@ -131,15 +131,10 @@ def count_unreduced(u: DataFrame, limit: int = LONGEST) -> DataFrame:
 
 
 def count_hybrid(o: DataFrame, limit: int = 256) -> DataFrame:
-    """One row, n_triangles: short lists are intersected whole, and where the shorter list exceeds limit its elements are probed in the longer one."""
-    sized = list_sizes(o).where("m > 0 and n > 0").withColumn("far", F.least("m", "n") > limit)
-    adj = adjacency(o)
-    near = sized.where("not far").join(adj.withColumnRenamed("nbrs", "na"), "src").join(adj.select(F.col("src").alias("dst"), F.col("nbrs").alias("nb")), "dst")
-    merged = near.agg(F.sum(common("na", "nb")).alias("n"))
-    ends = sized.where("far").select(F.when(F.col("m") <= F.col("n"), F.col("src")).otherwise(F.col("dst")).alias("s"), F.when(F.col("m") <= F.col("n"), F.col("dst")).otherwise(F.col("src")).alias("l"))
-    probes = ends.join(o.select(F.col("src").alias("s"), F.col("dst").alias("w")), "s").select("l", "w")
-    probed = probes.join(o.select(F.col("src").alias("l"), F.col("dst").alias("w")), ["l", "w"]).agg(F.count("*").alias("n"))
-    return merged.unionByName(probed).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_triangles"))
+    """One row, n_triangles: short lists are intersected whole, and where the shorter list exceeds limit its elements are probed in a table of the longer one."""
+    m, n = F.size("na"), F.size("nb")
+    probed = F.when(m <= n, common("na", "nb")).otherwise(common("nb", "na"))  # the second list is the table, the first one's elements are looked up
+    return total(over_lists(o, lambda t: t.agg(F.sum(F.when(F.least(m, n) <= limit, common("na", "nb")).otherwise(probed)).alias("n"))))
 
 
 def edge_support(o: DataFrame) -> DataFrame:
