@@ -330,3 +330,4 @@ def test_blocks_of_lists_lose_nothing(spark, monkeypatch):
     support = {(min(a, b), max(a, b)): n for a, b, n in triangles.edge_support(o).collect()}
     assert support == {tuple(e): sum(set(e) <= set(t) for t in want) for e in pairs.collect()}
     assert triangles.count_hybrid(o, 2).first()[0] == len(want)
+    assert triangles.count_unreduced(build.symmetrise(pairs)).first()[0] == len(want)
