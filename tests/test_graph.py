@@ -331,3 +331,5 @@ def test_blocks_of_lists_lose_nothing(spark, monkeypatch):
     assert support == {tuple(e): sum(set(e) <= set(t) for t in want) for e in pairs.collect()}
     assert triangles.count_hybrid(o, 2).first()[0] == len(want)
     assert triangles.count_unreduced(build.symmetrise(pairs)).first()[0] == len(want)
+    part = lambda v: F.pmod(v, F.lit(3))
+    assert sum(r.n_triangles for r in partition.part_chunk_counts(o, part, 7).collect()) == len(want)

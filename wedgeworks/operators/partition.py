@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import common
+from ..sources.scratch import kept
 from .degree import in_degree, running_total
 
 
@@ -56,8 +57,6 @@ def greedy_row_cuts(o: DataFrame, columns: Column, size: int) -> list[int]:
     column: in a column the weight grows with every id, so the last id that fits lies between two rows with
     edges, or right before the first that doesn't fit. Only a row a column comes to the driver for each cut.
     """
-    from ..sources.scratch import kept
-
     cells = o.groupBy(F.col("src").alias("v"), columns.alias("k")).agg(F.count("*").alias("w"))
     run = kept(running_total(cells, "v", "w", ("k",)).withColumnRenamed("total", "cum"), "row-weights")
     ids = o.agg(F.max(F.greatest("src", "dst"))).first()[0]
@@ -179,9 +178,25 @@ def column_counts(o: DataFrame, column) -> DataFrame:
 
 
 def part_chunk_counts(o: DataFrame, column, size: int) -> DataFrame:
-    """(k, chunk, n_triangles): the matrix of partial counts by column part and chunk of the edge list."""
-    counted = lists_by_column(o, column).select("src", "dst", "k", common("na", "nb").alias("n")).where("n > 0")
-    return counted.join(chunk_of(o, size), ["src", "dst"]).groupBy("k", "chunk").agg(F.sum("n").alias("n_triangles"))
+    """(k, chunk, n_triangles): the matrix of partial counts by column part and chunk of the edge list.
+
+    An edge's chunk is told by its place in its source's sorted list and by where that list begins, so edges
+    are not joined to their chunks; targets' lists are met block by block, and a pass leaves partial counts.
+    """
+    from .triangles import by_blocks, kept_lists
+
+    lists, blocks = kept_lists(o)
+    starts = running_total(lists.select(F.col("src").alias("v"), F.size("nbrs").cast("long").alias("deg")), "v", "deg").select(F.col("v").alias("src"), (F.col("total") - F.col("deg")).alias("_begin"))
+    placed = kept(lists.join(starts, "src"), "placed-lists")
+    edges = placed.select("_begin", F.posexplode("nbrs").alias("pos", "dst"), F.col("nbrs").alias("na"))
+    targets = lists.select(F.col("src").alias("dst"), F.col("nbrs").alias("nb"))
+
+    def counts(t: DataFrame) -> DataFrame:
+        chunk = F.floor((F.col("_begin") + F.col("pos")) / F.lit(size)).cast("long")
+        thirds = t.select(chunk.alias("chunk"), F.explode(F.array_intersect("na", "nb")).alias("c"))
+        return thirds.groupBy(column(F.col("c")).alias("k"), "chunk").agg(F.count("*").alias("n"))
+
+    return by_blocks(edges, "dst", targets, blocks, counts).groupBy("k", "chunk").agg(F.sum("n").alias("n_triangles"))
 
 
 def cell_check(edges: DataFrame, row: Column, column: Column, cells: DataFrame) -> DataFrame:
