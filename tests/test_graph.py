@@ -333,3 +333,4 @@ def test_blocks_of_lists_lose_nothing(spark, monkeypatch):
     assert triangles.count_unreduced(build.symmetrise(pairs)).first()[0] == len(want)
     part = lambda v: F.pmod(v, F.lit(3))
     assert sum(r.n_triangles for r in partition.part_chunk_counts(o, part, 7).collect()) == len(want)
+    assert triangles.count_join(o).first()[0] == len(want)
