@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from wedgeworks import cli
 from wedgeworks.operators import build, degree, orient, partition, traversal, triangles
 from wedgeworks.sources import edges as source
+from wedgeworks.sources.scratch import kept
 
 TOYS = {  # edges, vertices, undirected edges, triangles, directed edges on a triangle
     "two_tails": ([(0, 1), (0, 2), (1, 2), (1, 3), (2, 3), (1, 4), (3, 4), (5, 6), (1, 0), (2, 0)], 7, 8, 3, 14),
@@ -334,3 +335,62 @@ def test_blocks_of_lists_lose_nothing(spark, monkeypatch):
     part = lambda v: F.pmod(v, F.lit(3))
     assert sum(r.n_triangles for r in partition.part_chunk_counts(o, part, 7).collect()) == len(want)
     assert triangles.count_join(o).first()[0] == len(want)
+
+
+def shuffled(spark):
+    """Bytes that all shuffles of the session have written."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    executors = context.statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_unreduced_count_sends_packed_ids(spark):
+    """Its shuffle is a few bytes for each edge, also where a task has but one or two of a vertex's neighbours."""
+    rng = random.Random(3)
+    raw = [(rng.randrange(20_000), rng.randrange(20_000)) for _ in range(100_000)]
+    near = {}
+    for a, b in raw:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = sum(len(near[a] & near[b]) for a in near for b in near[a]) // 6
+    u = kept(build.symmetrise(build.undirected(frame(spark, raw)).repartition(64)), "symmetric")
+    before = shuffled(spark)
+    assert triangles.count_unreduced(u).first()[0] == want > 0
+    assert shuffled(spark) - before < 12 * sum(map(len, near.values()))
+
+
+HUB = random_graph(7) + [(24, v) for v in range(60)] + [(v, v + 1) for v in range(25, 59)]
+
+
+@pytest.mark.parametrize("shift", [0, 1 << 40, -(1 << 45)])
+def test_unreduced_count_by_parts(spark, monkeypatch, shift):
+    """Several parts; a hub; repeats and loops; ids of any size; lists beyond the limit."""
+    monkeypatch.setattr(triangles.unreduced, "PART", 60)
+    _, want = brute(HUB)
+    u = build.symmetrise(frame(spark, [(a + shift, b + shift) for a, b in HUB + HUB[:30]]))
+    assert triangles.unreduced.packed_lists(u, 5).count() > 1
+    assert triangles.count_unreduced(u).first()[0] == triangles.count_unreduced(u, 8).first()[0] == len(want)
+    assert triangles.count_unreduced(u.where("src is null")).first()[0] == 0
+
+
+@pytest.mark.parametrize("rows, bits, wedges", [(1, 0, 1), (3, 1, 20), (2, 4, 7), (64, 13, 1 << 20)])
+@pytest.mark.parametrize("shift", [0, 1 << 40, -(1 << 45)])
+def test_batches_and_full_slots_lose_nothing(monkeypatch, rows, bits, wedges, shift):
+    """Small batches, and slots of the table that several ids fall into."""
+    import pyarrow as pa
+    import pyarrow.compute
+
+    from wedgeworks.operators import unreduced
+
+    for name, value in (("ROWS", rows), ("BITS", bits), ("WEDGES", wedges)):
+        monkeypatch.setattr(unreduced, name, value)
+    near, want = brute(HUB)
+    src, dst = (pa.array([e[i] + shift for a, b in HUB for e in ((a, b), (b, a))], pa.int64()) for i in (0, 1))
+    dealt = pa.Table.from_batches(unreduced.dealt(iter([pa.RecordBatch.from_arrays([src, dst], ["src", "dst"])]), 3))
+    parts = [unreduced.listed(p, dealt.filter(pa.compute.equal(dealt["part"], p))) for p in set(dealt["part"].to_pylist())]
+    assert len(parts) > 1 and max(t["longest"][0].as_py() for t in parts) == max(map(len, near.values()))
+    get = lambda t, *names: [unreduced.unpacked(t[c][0]) for c in names]
+    six = sum(unreduced.shared(*get(a, "sizes", "nbrs"), b["part"][0].as_py(), *get(b, "srcs", "sizes", "nbrs"), 3) for a in parts for b in parts)
+    assert six == 6 * len(want)

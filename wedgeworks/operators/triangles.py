@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import common, search_steps
 from ..sources.scratch import is_kept, kept, scratch_path
+from . import unreduced
 
 #: Edges whose lists may be broadcast: 16 MB of ids.
 SMALL_GRAPH = 2_000_000
@@ -141,9 +142,18 @@ def count_split(edges: DataFrame, limit: int = LONGEST) -> DataFrame:
     return column_counts(edges, lambda v: F.pmod(F.xxhash64(v), F.lit(parts))).agg(F.coalesce(F.sum("n_triangles"), F.lit(0)).cast("long").alias("n_triangles"))
 
 
-def count_unreduced(u: DataFrame, limit: int = LONGEST) -> DataFrame:
-    """On the symmetric graph each triangle is met six times."""
-    return count_split(u, limit).select(F.floor(F.col("n_triangles") / 6).cast("long").alias("n_triangles"))
+def count_unreduced(u: DataFrame, limit: int = unreduced.PART) -> DataFrame:
+    """On the symmetric graph each triangle is met six times (J9). Loops and repeats in u are dropped.
+
+    Lists are packed into parts that meet pair by pair; if a list is longer than limit, all are cut as in count_split.
+    """
+    parts = unreduced.parts_for(u.count(), u.sparkSession.sparkContext.defaultParallelism)
+    lists = unreduced.packed_lists(u, parts)
+    if (lists.agg(F.max("longest")).first()[0] or 0) <= limit:
+        six = total(unreduced.common_neighbours(lists, parts))
+    else:
+        six = count_split(u.where("src <> dst").distinct(), limit)
+    return six.select(F.call_function("div", F.col("n_triangles"), F.lit(6)).alias("n_triangles"))
 
 
 def count_hybrid(o: DataFrame, limit: int = 256) -> DataFrame:
